@@ -24,6 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: for what a checkpoint would make too large."""
+    path = scratch(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what spark.checkpoint.dir names, made ready for checkpoints."""
     sc = spark.sparkContext

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, cut, mix, pieces, read, salted_join, utf8, words
+from .common import Spans, cut, mix, pieces, read, salted_join, table, utf8, words
 
 SHINGLE = 3
 #: The least similarity, as a part of 100.
@@ -342,7 +342,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), node], ["key", "node"])
 
     listed = docs.select("text").mapInArrow(postings, "key long, node binary")
-    listed = cut(listed)
+    listed = table(listed)  # a node's postings stand together: Parquet keeps the node once
     # by 64 bits of the node: shared, if it has two
     short = F.xxhash64("node")
     shared = listed.select("key", short.alias("s")).groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
