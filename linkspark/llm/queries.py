@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, mixing, quality, tokens, topk, urls, warc
+from . import bpe, html, jaccard, langid, mixing, quality, tokens, topk, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         bpe.op4_byte_bpe,
         urls.op5_url_list_intervals,
         mixing.op6_source_mix,
+        html.op7_block_labeller,
         warc.op8_warc_chunks,
         tokens.op9_token_shards,
         jaccard.op10_ngram_prefix_tree,
