@@ -1,17 +1,17 @@
 """N-gram Jaccard join by prefix trees (op10).
 
 A document's set holds the 64-bit hashes of its three-word shingles (A-Z lower-cased; with fewer words, of the whole
-sequence). Equal sets are one node, so that copies never meet each other. All sets are ordered alike, by how full the
-bucket of a shingle is in a count sketch of fixed size over the whole corpus, then by hash. Two sets of a similarity of
-0.9 share a shingle among the first n - ceil(0.9 n) + 1 of each:
+sequence). Equal sets are one node, so that copies never meet each other. All sets are ordered alike, by hash, but
+last the shingles whose bucket is much fuller than others in a count sketch of fixed size over the whole corpus. Two
+sets of a similarity of 0.9 share a shingle among the first n - ceil(0.9 n) + 1 of each:
 
 1. one pass over the texts gives the nodes, with a histogram of their set over 64 buckets, and the sketch;
 2. one gives the postings of those first shingles; the ones that a single node has go;
 3. in each posting list, split into pairs of blocks where it is long, nodes are compatible if their sizes are, and if
    the difference of their histograms, which is never more than that of the sets, is small enough;
-4. one pass gives the ordered sets of the nodes that have a compatible partner;
-5. each compatible node is checked with its first partner, links are joined into components, and then all compatible
-   pairs of different components are checked. That leaves out no link between components, and few pairs within one.
+4. in two of its lists, each node is checked with its first compatible partner, and links are joined into components;
+5. in all lists, all compatible pairs of different components are checked. That leaves out no link between
+   components, and few pairs within one. For a check, one pass over the texts gives the ordered sets it needs.
 
 A check puts the ordered sets of many candidates into a prefix tree and walks it with the set of one node: the
 overlap with a shared beginning is counted once, and a subtree is left as soon as what remains of both can't reach
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Spans, cut, mix, pieces, read, salted_join, table, utf8, words
@@ -41,6 +41,8 @@ SIMILARITY = 90
 SKETCH, ROW, HISTOGRAM = 1 << 21, 1 << 16, 64
 #: Longer posting lists are split into blocks of about this many nodes; sets checked with one node at a time.
 BLOCK, BUNDLE = 1024, 256
+#: Postings of a set that is mostly of shingles that aren't hot.
+PREFIX = 32
 #: Tokens of a trie's edge that are counted at once.
 EDGE = 64
 
@@ -89,11 +91,29 @@ def _bucket(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(43)).astype(np.int64)
 
 
+def hot(sketch: np.ndarray) -> np.ndarray:
+    """The sketch with 0 for all but buckets that are much fuller than the mean one."""
+    return np.where(sketch > 32 + 4 * (sketch.sum(dtype=np.uint64) / SKETCH), sketch, 0).astype(np.uint32)
+
+
 def ordered(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """A sorted set in the order of all sets."""
+    """A sorted set in the order of all sets: shingles that aren't hot by hash, the others by fullness and hash."""
     return found[np.argsort(sketch[_bucket(found)], kind="stable")]
 
 
+def prefix(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set that its postings are made of.
+
+    Of a set of which half or more isn't hot, PREFIX are enough: without the hot ones, sets that link have a
+    similarity of 0.8 at least, and the first by hash are a random sample of their union, so that the chance that
+    sets share none of PREFIX is 0.2 ** PREFIX, below that of equal hashes of different shingles.
+    """
+    many = len(found) + (-SIMILARITY * len(found)) // 100 + 1
+    if many > PREFIX and 2 * int((sketch[_bucket(found)] == 0).sum()) >= len(found):
+        many = PREFIX
+    return ordered(found, sketch)[:many]
+
+
 _NODES = "doc_id long, n long, node binary, histogram binary, row int, counts binary"
 
 
@@ -197,6 +217,7 @@ def _candidates(every: bool) -> Callable:
     compatible pair of different labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[bytes, bytes]] = set()
         for table in _groups(batches, ["key"]):
             table = table.combine_chunks()
             key = table.column("key").to_numpy()
@@ -208,6 +229,8 @@ def _candidates(every: bool) -> Callable:
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(edges, len(key)))
             found: set[tuple[bytes, bytes]] = set()
+            if len(told) > 500_000:
+                told.clear()
             done = 0
             while done < len(sizes):  # some millions of pairs at a time
                 to = done + max(1, int(np.searchsorted(np.cumsum(sizes[done:].astype(np.int64) ** 2), 1 << 22, "right")))
@@ -225,7 +248,8 @@ def _candidates(every: bool) -> Callable:
                     i, j = i[first], j[first]
                 found.update((min(a, b), max(a, b)) for a, b in zip(node[i], node[j], strict=True) if a != b)
                 done = to
-            if found:
+            if found := found - told:
+                told |= found
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -286,8 +310,10 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, sketch) -> DataFrame:
     """Those of the pairs that link."""
+    active = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = _sets(docs, active, sketch)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BUNDLE).alias("_k"))
     many = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "_k").alias("bundle"), "b")
     members = many.select("a", "bundle", F.col("b").alias("node")).unionByName(many.select("a", "bundle", F.col("a").alias("node")).distinct())
@@ -317,7 +343,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = cut(docs.mapInArrow(_first_pass, _NODES))
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(first))
+    sketch = docs.sparkSession.sparkContext.broadcast(hot(_sketch(first)))
     rows = first.filter("row is null").select("doc_id", "n", "node", "histogram")
     # copies meet here, a row for each task and node
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("histogram").alias("histogram"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
@@ -332,8 +358,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
                     if not len(s) or (node := _digest(s)) in seen:
                         continue
                     seen.add(node)
-                    prefix = ordered(s, sketch.value)[: len(s) + (-SIMILARITY * len(s)) // 100 + 1]
-                    keys.append(prefix)
+                    keys.append(prefix(s, sketch.value))
                     owners.append(node)
                 if len(seen) > 200_000:
                     seen.clear()
@@ -356,15 +381,14 @@ def link_documents(docs: DataFrame) -> DataFrame:
     large = large.select(F.xxhash64("key", F.least("_b", "_c"), F.greatest("_b", "_c")).alias("key"), side.cast("int").alias("side"), "node", "n", "histogram")
     lists = cut(small.unionByName(large))
 
-    dealt = lists.withColumn("label", F.lit(None).cast("binary")).repartition("key").sortWithinPartitions("key", "node")
+    two = F.row_number().over(Window.partitionBy("node").orderBy("key"))
+    dealt = lists.withColumn("_two", two).filter("_two <= 2").drop("_two").repartition("key").sortWithinPartitions("key", "node")
     near = cut(dealt.mapInArrow(_candidates(False), "a binary, b binary").distinct())
-    active = cut(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
-    sets = cut(_sets(docs, active, sketch))
-    links = _links(near, sets)
-    labels = active.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    again = lists.join(labels, "node").select("key", "side", "node", "n", "histogram", "label").repartition("key").sortWithinPartitions("key", "node")
+    links = _links(near, docs, sketch)
+    labels = components(links)
+    again = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key").sortWithinPartitions("key", "node")
     rest = cut(again.mapInArrow(_candidates(True), "a binary, b binary").distinct())
-    labels = components(links.unionByName(_links(rest, sets)))
+    labels = components(links.unionByName(_links(rest, docs, sketch)))
 
     found = labels.join(nodes.select("node", "least"), "node")
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
