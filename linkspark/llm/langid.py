@@ -92,12 +92,15 @@ class Model:
         self.languages = sorted(counts)
         self.keys, self.logs, self.contexts, self.weights = {}, {}, {}, {}
         n = len(self.languages)
+        self.limits = np.zeros((n, 2))  # the mean cross-entropy of each language, and the deviation of a character
+        if not n:
+            return
         seen = {}
         for language, (keys, number) in counts.items():
             seen[language, ORDER] = (keys, number)
             for order in range(ORDER - 1, 0, -1):  # how many characters stand before it
                 seen[language, order] = np.unique(_tail(seen[language, order + 1][0], order), return_counts=True)
-        alphabet = max(1, len(np.unique(np.concatenate([seen[x, 1][0] for x in self.languages])))) if n else 1
+        alphabet = max(1, len(np.unique(np.concatenate([seen[x, 1][0] for x in self.languages]))))
         probabilities: dict[int, np.ndarray] = {}
         for order in range(1, ORDER + 1):
             keys = np.unique(np.concatenate([seen[x, order][0] for x in self.languages]))
@@ -122,8 +125,6 @@ class Model:
             if order > 1:
                 self.contexts[order], self.weights[order] = contexts, np.log(weights).astype(np.float32)
         self.unknown = -math.log(alphabet)
-        #: For each language the mean, the deviation of one character, and by these the greatest cross-entropy.
-        self.limits = np.zeros((n, 2))
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
