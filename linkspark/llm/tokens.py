@@ -43,7 +43,7 @@ IMAGE = 4 << 20
 DICTIONARY, SAMPLE = 64 << 10, 1000
 #: Documents of a shard, about, and the most shards.
 SHARD, MAX_SHARDS = 20_000, 10_000
-MAX_PIECES = 300_000
+MAX_PIECES = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -66,22 +66,40 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space. Many words are one text to the tokenizer, as a call costs more than a
+        word; none ends in white space, so each begins where a match does, and offsets tell whose a token is."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.fromiter((b for _, b in found.offsets), np.int64, len(ids))
+            edges = np.searchsorted(ends, np.cumsum([len(w) + 1 for w in some]), "right")
+            data, start = ids.tobytes(), 0
+            for edge in edges:
+                out.append(data[4 * start : 4 * edge])
+                start = edge
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
         known = self.known
         split = [text.split(" ") for text in texts]
-        new = list(set().union(*(set(x[1:]) - known.keys() for x in split)))
+        new = list(set().union(*(x[1:] for x in split)) - known.keys())
         whole = [x for x in new if x and not x[-1].isspace()]
-        known.update(zip(whole, self.raw([f" {x}" for x in whole]), strict=True))
-        known.update((x, None) for x in new if not x or x[-1].isspace())
+        fresh = dict(zip(whole, self.together(whole), strict=True)) | {x: None for x in new if not x or x[-1].isspace()}
+        if len(known) < MAX_PIECES:  # the frequent pieces come early; later ones are kept for these texts alone
+            known.update(fresh)
+            find = known
+        else:
+            find = known | fresh
         heads = self.raw([x[0] for x in split])
         out = []
-        for text, head, x in zip(texts, heads, split, strict=True):
+        for head, x in zip(heads, split, strict=True):
             try:
                 if len(x) > 1 and (not x[0] or x[0][-1].isspace()):
                     raise TypeError
-                out.append(head + b"".join([known[y] for y in x[1:]]))
+                out.append(head + b"".join(map(find.__getitem__, x[1:])))
             except TypeError:
                 out.append(b"".join(self.raw(list(self.joined(x)))))
         return out
@@ -163,7 +181,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 8 << 20):
                 yield part, [x + end for x in encoder.encode(part.column("text").fill_null("").to_pylist())]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
