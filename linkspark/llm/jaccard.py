@@ -5,10 +5,10 @@ sequence). Equal sets are one node, so that copies never meet each other. All se
 last the shingles whose bucket is much fuller than others in a count sketch of fixed size over the whole corpus. Two
 sets of a similarity of 0.9 share a shingle among the first n - ceil(0.9 n) + 1 of each:
 
-1. one pass over the texts gives the nodes, with a histogram of their set over 64 buckets, and the sketch;
+1. one pass over the texts gives the nodes, with the parities of their set over 512 buckets, and the sketch;
 2. one gives the postings of those first shingles; the ones that a single node has go;
 3. in each posting list, split into pairs of blocks where it is long, nodes are compatible if their sizes are, and if
-   the difference of their histograms, which is never more than that of the sets, is small enough;
+   the difference of their parities, which is never more than that of the sets, is small enough;
 4. in two of its lists, each node is checked with its first compatible partner, and links are joined into components;
 5. in all lists, all compatible pairs of different components are checked. That leaves out no link between
    components, and few pairs within one. For a check, one pass over the texts gives the ordered sets it needs.
@@ -37,8 +37,8 @@ from .common import Spans, cut, mix, pieces, read, salted_join, table, utf8, wor
 SHINGLE = 3
 #: The least similarity, as a part of 100.
 SIMILARITY = 90
-#: Buckets of the sketch and of its rows, and of a set's histogram.
-SKETCH, ROW, HISTOGRAM = 1 << 21, 1 << 16, 64
+#: Buckets of the sketch and of its rows, and bits of a set's parities.
+SKETCH, ROW, PARITIES = 1 << 21, 1 << 16, 512
 #: Longer posting lists are split into blocks of about this many nodes; sets checked with one node at a time.
 BLOCK, BUNDLE = 1024, 256
 #: Postings of a set that is mostly of shingles that aren't hot.
@@ -83,8 +83,10 @@ def _digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _histogram(found: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((found >> np.uint64(20)) % np.uint64(HISTOGRAM), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
+def _parities(found: np.ndarray) -> bytes:
+    """Whether each of PARITIES buckets holds an odd number of the set. Two sets whose bits differ in d places differ
+    in d shingles at least: one in each of these buckets."""
+    return np.packbits(np.bincount((found >> np.uint64(20)) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
 
 
 def _bucket(found: np.ndarray) -> np.ndarray:
@@ -114,7 +116,7 @@ def prefix(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return ordered(found, sketch)[:many]
 
 
-_NODES = "doc_id long, n long, node binary, histogram binary, row int, counts binary"
+_NODES = "doc_id long, n long, node binary, parities binary, row int, counts binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             empty = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([_histogram(s) if len(s) else None for s in sets], pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([_parities(s) if len(s) else None for s in sets], pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names
             )
     count()
     rows = [i for i in range(SKETCH // ROW) if counts[i * ROW : (i + 1) * ROW].any()]
@@ -201,19 +203,19 @@ def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, parities: np.ndarray) -> np.ndarray:
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     ok = np.flatnonzero(100 * small >= SIMILARITY * large)
     for a in range(0, len(ok), 1 << 18):
         part = ok[a : a + (1 << 18)]
-        apart = np.abs(histogram[i[part]].astype(np.int16) - histogram[j[part]]).sum(1)
+        apart = np.bitwise_count(parities[i[part]] ^ parities[j[part]]).sum(1, dtype=np.int64)
         both = n[i[part]] + n[j[part]]
         ok[a : a + (1 << 18)] = np.where(apart <= both - 2 * needed(0, both), part, -1)
     return ok[ok >= 0]
 
 
 def _candidates(every: bool) -> Callable:
-    """From posting lists (key, side, node, n, histogram, label): for each node its first compatible partner, or every
+    """From posting lists (key, side, node, n, parities, label): for each node its first compatible partner, or every
     compatible pair of different labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +225,7 @@ def _candidates(every: bool) -> Callable:
             key = table.column("key").to_numpy()
             node = np.array(table.column("node").to_pylist(), object)
             n = table.column("n").to_numpy().astype(np.int64)
-            histogram = np.frombuffer(b"".join(table.column("histogram").to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+            parities = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
             side = table.column("side").to_numpy()
             label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1] if every else None
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -241,7 +243,7 @@ def _candidates(every: bool) -> Callable:
                 if every:
                     keep &= label[i] != label[j]
                 i, j = i[keep], j[keep]
-                ok = _compatible(i, j, n, histogram)
+                ok = _compatible(i, j, n, parities)
                 i, j = i[ok], j[ok]
                 if not every:  # i rises within j, so the first is the smallest
                     first = np.unique(j, return_index=True)[1]
@@ -344,9 +346,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = cut(docs.mapInArrow(_first_pass, _NODES))
     sketch = docs.sparkSession.sparkContext.broadcast(hot(_sketch(first)))
-    rows = first.filter("row is null").select("doc_id", "n", "node", "histogram")
+    rows = first.filter("row is null").select("doc_id", "n", "node", "parities")
     # copies meet here, a row for each task and node
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("histogram").alias("histogram"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("parities").alias("parities"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = cut(nodes)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,13 +374,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     short = F.xxhash64("node")
     shared = listed.select("key", short.alias("s")).groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
     lists = salted_join(listed, shared, ["key"], "inner", ["node"], 8).distinct()
-    lists = lists.join(nodes.select("node", "n", "histogram"), "node")
+    lists = lists.join(nodes.select("node", "n", "parities"), "node")
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    small = lists.filter(F.col("df") <= 2 * BLOCK).select("key", F.lit(2).cast("int").alias("side"), "node", "n", "histogram")
+    small = lists.filter(F.col("df") <= 2 * BLOCK).select("key", F.lit(2).cast("int").alias("side"), "node", "n", "parities")
     large = lists.filter(F.col("df") > 2 * BLOCK).withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), "_k").cast("int"))
     large = large.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     side = F.when(F.col("_b") == F.col("_c"), 2).otherwise((F.col("_b") < F.col("_c")).cast("int"))
-    large = large.select(F.xxhash64("key", F.least("_b", "_c"), F.greatest("_b", "_c")).alias("key"), side.cast("int").alias("side"), "node", "n", "histogram")
+    large = large.select(F.xxhash64("key", F.least("_b", "_c"), F.greatest("_b", "_c")).alias("key"), side.cast("int").alias("side"), "node", "n", "parities")
     lists = cut(small.unionByName(large))
 
     two = F.row_number().over(Window.partitionBy("node").orderBy("key"))
