@@ -5,7 +5,7 @@ sequence). Equal sets are one node, so that copies never meet each other. All se
 last the shingles whose bucket is much fuller than others in a count sketch of fixed size over the whole corpus. Two
 sets of a similarity of 0.9 share a shingle among the first n - ceil(0.9 n) + 1 of each:
 
-1. one pass over the texts gives the nodes, with the parities of their set over 512 buckets, and the sketch;
+1. one pass over the texts gives the nodes, with the parities of their set over 512 buckets or more, and the sketch;
 2. one gives the postings of those first shingles; the ones that a single node has go;
 3. in each posting list, split into pairs of blocks where it is long, nodes are compatible if their sizes are, and if
    the difference of their parities, which is never more than that of the sets, is small enough;
@@ -37,8 +37,10 @@ from .common import Spans, cut, mix, pieces, read, salted_join, table, utf8, wor
 SHINGLE = 3
 #: The least similarity, as a part of 100.
 SIMILARITY = 90
-#: Buckets of the sketch and of its rows, and bits of a set's parities.
-SKETCH, ROW, PARITIES = 1 << 21, 1 << 16, 512
+#: Buckets of the sketch and of its rows.
+SKETCH, ROW = 1 << 21, 1 << 16
+#: Bits of a set's parities, by the size above which a set has them. Each number divides the next.
+PARITIES = {0: 512, 1024: 2048, 8192: 8192}
 #: Longer posting lists are split into blocks of about this many nodes; sets checked with one node at a time.
 BLOCK, BUNDLE = 1024, 256
 #: Postings of a set that is mostly of shingles that aren't hot.
@@ -84,9 +86,29 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _parities(found: np.ndarray) -> bytes:
-    """Whether each of PARITIES buckets holds an odd number of the set. Two sets whose bits differ in d places differ
-    in d shingles at least: one in each of these buckets."""
-    return np.packbits(np.bincount((found >> np.uint64(20)) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+    """Whether each of some buckets, more for large sets, holds an odd number of the set. Two sets whose bits differ
+    in d places differ in d shingles at least: one in each of these buckets."""
+    bits = max(b for above, b in PARITIES.items() if len(found) > above or not above)
+    return np.packbits(np.bincount((found >> np.uint64(20)) % np.uint64(bits), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _levels(parities: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each number of bits of PARITIES: the place of each set that has so many in a matrix of them (-1: it has
+    fewer), and the matrix. More bits fold to fewer, as a bucket of few is the sum of some of many."""
+    size = np.array([len(x) for x in parities])
+    out = []
+    for bits in PARITIES.values():
+        rows = np.flatnonzero(8 * size >= bits)
+        matrix = np.zeros((len(rows), bits // 64), np.uint64)
+        for more in PARITIES.values():
+            own = np.flatnonzero(8 * size[rows] == more)
+            if len(own):
+                whole = np.frombuffer(b"".join(parities[k] for k in rows[own]), np.uint64)
+                matrix[own] = np.bitwise_xor.reduce(whole.reshape(len(own), more // bits, bits // 64), axis=1)
+        place = np.full(len(size), -1)
+        place[rows] = np.arange(len(rows))
+        out.append((place, matrix))
+    return out
 
 
 def _bucket(found: np.ndarray) -> np.ndarray:
@@ -203,15 +225,19 @@ def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, parities: np.ndarray) -> np.ndarray:
-    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    ok = np.flatnonzero(100 * small >= SIMILARITY * large)
-    for a in range(0, len(ok), 1 << 18):
-        part = ok[a : a + (1 << 18)]
-        apart = np.bitwise_count(parities[i[part]] ^ parities[j[part]]).sum(1, dtype=np.int64)
-        both = n[i[part]] + n[j[part]]
-        ok[a : a + (1 << 18)] = np.where(apart <= both - 2 * needed(0, both), part, -1)
-    return ok[ok >= 0]
+def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The numbers of the pairs i, j whose sizes and parities don't rule a link out."""
+    ok = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+    for place, matrix in levels:
+        kept, step = [], (1 << 21) // matrix.shape[1]
+        for a in range(0, len(ok), step):
+            part = ok[a : a + step]
+            x, y = place[i[part]], place[j[part]]
+            apart = np.bitwise_count(matrix[x] ^ matrix[y]).sum(1, dtype=np.int64) if len(matrix) else 0
+            both = n[i[part]] + n[j[part]]
+            kept.append(part[(x < 0) | (y < 0) | (apart <= both - 2 * needed(0, both))])
+        ok = np.concatenate(kept) if kept else ok
+    return ok
 
 
 def _candidates(every: bool) -> Callable:
@@ -225,7 +251,7 @@ def _candidates(every: bool) -> Callable:
             key = table.column("key").to_numpy()
             node = np.array(table.column("node").to_pylist(), object)
             n = table.column("n").to_numpy().astype(np.int64)
-            parities = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            levels = _levels(table.column("parities").to_pylist())
             side = table.column("side").to_numpy()
             label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1] if every else None
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -243,7 +269,7 @@ def _candidates(every: bool) -> Callable:
                 if every:
                     keep &= label[i] != label[j]
                 i, j = i[keep], j[keep]
-                ok = _compatible(i, j, n, parities)
+                ok = _compatible(i, j, n, levels)
                 i, j = i[ok], j[ok]
                 if not every:  # i rises within j, so the first is the smallest
                     first = np.unique(j, return_index=True)[1]

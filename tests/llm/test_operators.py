@@ -135,6 +135,18 @@ def test_jaccard(spark, docs):
     assert {r.doc_id for r in jaccard.distinct_documents(df).collect()} == set(label.values())
 
 
+def test_parities():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (1, 30, 400, 1000, 1100, 3000, 8000, 9000):
+        first = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sets += [first, first[: -(len(first) // 40) or None], np.unique(np.append(first[len(first) // 30 :], rng.integers(0, 1 << 63, n // 60).astype(np.uint64))), np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))]
+    i, j = np.triu_indices(len(sets), 1)
+    ok = set(jaccard._compatible(i, j, np.array([len(s) for s in sets]), jaccard._levels([jaccard._parities(s) for s in sets])).tolist())
+    links = {k for k in range(len(i)) if 100 * len(np.intersect1d(sets[i[k]], sets[j[k]])) >= 90 * len(np.union1d(sets[i[k]], sets[j[k]]))}
+    assert len(links) > 15 and links <= ok and len(ok) < len(links) + 8
+
+
 def test_trie():
     rng = np.random.default_rng(3)
     pool = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(40)]
