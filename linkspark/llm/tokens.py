@@ -87,14 +87,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         split = [text.split(" ") for text in texts]
-        new = list(set().union(*(x[1:] for x in split)) - known.keys())
-        whole = [x for x in new if x and not x[-1].isspace()]
-        fresh = dict(zip(whole, self.together(whole), strict=True)) | {x: None for x in new if not x or x[-1].isspace()}
-        if len(known) < MAX_PIECES:  # the frequent pieces come early; later ones are kept for these texts alone
-            known.update(fresh)
-            find = known
-        else:
-            find = known | fresh
+        new = set().union(*(x[1:] for x in split)).difference(known)
+        whole = [x for x in new if x[-1:].strip()]
+        # the frequent pieces come early; later ones are kept for these texts alone
+        find = known if len(known) < MAX_PIECES else known.copy()
+        find.update(zip(whole, self.together(whole), strict=True))
+        if len(whole) < len(new):
+            find.update(dict.fromkeys(new.difference(whole)))
         heads = self.raw([x[0] for x in split])
         out = []
         for head, x in zip(heads, split, strict=True):
