@@ -23,17 +23,19 @@ import hashlib
 import os
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, read, scratch
+from .common import offsets, per_text, pieces, read, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The character that stands for a space in the tokenizer's vocabulary.
@@ -46,6 +48,8 @@ DICTIONARY, SAMPLE = 64 << 10, 1000
 #: Documents of a shard, about, and the most shards.
 SHARD, MAX_SHARDS = 20_000, 10_000
 MAX_PIECES = 600_000
+#: Characters that a word is encoded without, if a letter below LETTERS (all of which any Unicode version has) is before.
+STOPS, LETTERS = {".", ","}, "\u0250"
 
 
 @lru_cache(maxsize=2)
@@ -84,26 +88,54 @@ class Encoder:
                 out += [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [text.split(" ") for text in texts]
-        new = set().union(*(x[1:] for x in split)).difference(known)
-        whole = [x for x in new if x[-1:].strip()]
-        # the frequent pieces come early; later ones are kept for these texts alone
-        find = known if len(known) < MAX_PIECES else known.copy()
-        find.update(zip(whole, self.together(whole), strict=True))
-        if len(whole) < len(new):
-            find.update(dict.fromkeys(new.difference(whole)))
-        heads = self.raw([x[0] for x in split])
-        out = []
-        for head, x in zip(heads, split, strict=True):
-            try:
-                if len(x) > 1 and (not x[0] or x[0][-1].isspace()):
-                    raise TypeError
-                out.append(head + b"".join(map(find.__getitem__, x[1:])))
-            except TypeError:
-                out.append(b"".join(self.raw(list(self.joined(x)))))
-        return out
+    def apart(self, new: list[str]) -> dict[str, bytes | None]:
+        """The ids of pieces after a space, and of their stems. A letter is never matched with a stop or comma after
+        it, so that a word with stops has the ids of the bare word and those of the stops."""
+        found: dict[str, bytes | None] = dict.fromkeys(new)
+        stops, whole = [], set()
+        for x in new:
+            if x[-1:] in STOPS:
+                stem = x.rstrip(".,")
+                if stem and stem[-1].isalpha() and stem[-1] < LETTERS:
+                    stops.append((x, stem, x[len(stem) :]))
+                    if stem not in self.known:
+                        whole.add(stem)
+                    continue
+            if x[-1:].strip():
+                whole.add(x)
+        words, ends = list(whole), list({end for *_, end in stops})
+        found.update(zip(words, self.together(words), strict=True))
+        ended = dict(zip(ends, self.raw(ends), strict=True))
+        for x, stem, end in stops:
+            found[x] = (found[stem] if stem in found else self.known[stem]) + ended[end]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Arrow splits the texts and numbers their pieces; only distinct pieces come to Python."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        at -= at[0]
+        distinct, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = self.apart([x for x in distinct if x not in self.known])
+        if len(self.known) < MAX_PIECES:  # the frequent pieces come early; later ones are kept for these texts alone
+            self.known.update(found)
+            find = self.known.__getitem__
+        else:
+            find = ChainMap(found, self.known).__getitem__
+        ids = [find(x) for x in distinct]
+        odd = np.array([x is None for x in ids], bool)
+        first = np.zeros(len(places), bool)
+        first[at[:-1]] = True
+        heads = self.raw(coded.dictionary.take(pa.array(places[at[:-1]])).to_pylist())
+        # the heads are encoded apart: their places take no bytes here
+        rows = pa.array(np.where(first, len(ids), places))
+        tail = pa.array([*(x or b"" for x in ids), b""], pa.large_binary()).take(rows)
+        ends, data = offsets(tail)[np.minimum(at, len(places))], tail.buffers()[2]
+        data = memoryview(data) if data is not None else memoryview(b"")
+        slow = (per_text(odd[places], at) > 0) & (np.diff(at) > 1)
+        return [b"".join(self.raw(list(self.joined(texts[i].as_py().split(" "))))) if slow[i] else heads[i] + data[ends[i] : ends[i + 1]] for i in range(len(texts))]
 
     @staticmethod
     def joined(x: list[str]) -> Iterator[str]:
@@ -183,7 +215,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
         encoder = Encoder(tokenizer)
         for batch in batches:
             for part in pieces(batch, "text", 8 << 20):
-                yield part, [x + end for x in encoder.encode(part.column("text").fill_null("").to_pylist())]
+                yield part, [x + end for x in encoder.encode(part.column("text"))]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids in serialize(batches):

@@ -94,6 +94,11 @@ def test_token_shards(spark, docs):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
         assert (r.ids, r.start, r.n_tokens, r.ids_crc32) == (ids, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    rng = np.random.default_rng(1)
+    odd = [None, "a. b., c,., .", "x 1. é, 日. _., q", " \n a b", "a  b", *("".join(rng.choice(list("ab's.,re \n\t1,é日 "), rng.integers(0, 40))) for _ in range(500))]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    encoder = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
+    assert encoder.encode(pa.array(["cut off", *odd]).slice(1)) == want == encoder.encode(pa.array(odd))
     many = [np.random.default_rng(i).integers(0, 300, 2000).astype("<u4").tobytes() for i in range(200)]
     assert tokens.train(many) and tokens.train(many[:3]) == b""
 
