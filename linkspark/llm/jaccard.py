@@ -1,9 +1,9 @@
 """N-gram Jaccard join by prefix trees (op10).
 
-A document's set holds the 64-bit hashes of its three-word shingles (A-Z lower-cased; with fewer words, of the whole
-sequence). Equal sets are one node, so that copies never meet each other. All sets are ordered alike, by hash, but
+A document's set holds the 64-bit hashes of its shingles of some words, three in op10 and five in the pipeline (A-Z
+lower-cased; with fewer words, of the whole sequence). Equal sets are one node, so that copies never meet each other. All sets are ordered alike, by hash, but
 last the shingles whose bucket is much fuller than others in a count sketch of fixed size over the whole corpus. Two
-sets of a similarity of 0.9 share a shingle among the first n - ceil(0.9 n) + 1 of each:
+sets of a similarity of s, 0.9 in op10 and 0.8 in the pipeline, share one among the first n - ceil(s n) + 1 of each:
 
 1. one pass over the texts gives the nodes, with the parities of their set over 512 buckets or more, and the sketch;
 2. one gives the postings of those first shingles; the ones that a single node has go;
@@ -24,7 +24,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,18 @@ from pyspark.sql import functions as F
 
 from .common import Spans, cut, mix, pieces, read, salted_join, table, utf8, words
 
-SHINGLE = 3
-#: The least similarity, as a part of 100.
-SIMILARITY = 90
+#: op10's words of a shingle and least similarity, as a part of 100.
+SHINGLE, SIMILARITY = 3, 90
+#: Those of the pipeline's near duplicates.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 80
 #: Buckets of the sketch and of its rows.
 SKETCH, ROW = 1 << 21, 1 << 16
 #: Bits of a set's parities, by the size above which a set has them. Each number divides the next.
 PARITIES = {0: 512, 1024: 2048, 8192: 8192}
 #: Longer posting lists are split into blocks of about this many nodes; sets checked with one node at a time.
 BLOCK, BUNDLE = 1024, 256
-#: Postings of a set that is mostly of shingles that aren't hot.
-PREFIX = 32
+#: The chance that linked sets share none of the postings of a set that is mostly of shingles that aren't hot.
+MISSED = 0.2**32
 #: Tokens of a trie's edge that are counted at once.
 EDGE = 64
 
@@ -52,9 +55,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def needed(a, b):
+def needed(a, b, similarity: int = SIMILARITY):
     """The least overlap of sets of these sizes that link."""
-    return -(-(SIMILARITY * (a + b)) // (100 + SIMILARITY))
+    return -(-(similarity * (a + b)) // (100 + similarity))
+
+
+def postings_enough(similarity: int = SIMILARITY) -> int | None:
+    """So many postings are enough for a set of which half or more isn't hot; None: all of its prefix are needed."""
+    apart = 2 * (100 - similarity) / 100
+    return math.ceil(round(math.log(MISSED, apart), 6)) if 0 < apart < 1 else None
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -125,23 +134,24 @@ def ordered(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return found[np.argsort(sketch[_bucket(found)], kind="stable")]
 
 
-def prefix(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def prefix(found: np.ndarray, sketch: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
     """The first shingles of a sorted set that its postings are made of.
 
-    Of a set of which half or more isn't hot, PREFIX are enough: without the hot ones, sets that link have a
-    similarity of 0.8 at least, and the first by hash are a random sample of their union, so that the chance that
-    sets share none of PREFIX is 0.2 ** PREFIX, below that of equal hashes of different shingles.
+    Of a set of which half or more isn't hot, some are enough: without the hot ones, sets that link at a similarity
+    of s have one of 1 - 2 (1 - s) at least (0.8 for 0.9, 0.6 for 0.8), and the first by hash are a random sample of
+    their union, so that the chance that sets share none of the first k is (2 (1 - s)) ** k. From k = 32 for 0.9 and
+    k = 57 for 0.8 on that is MISSED at most, below that of equal hashes of different shingles.
     """
-    many = len(found) + (-SIMILARITY * len(found)) // 100 + 1
-    if many > PREFIX and 2 * int((sketch[_bucket(found)] == 0).sum()) >= len(found):
-        many = PREFIX
+    many, enough = len(found) + (-similarity * len(found)) // 100 + 1, postings_enough(similarity)
+    if enough and many > enough and 2 * int((sketch[_bucket(found)] == 0).sum()) >= len(found):
+        many = enough
     return ordered(found, sketch)[:many]
 
 
 _NODES = "doc_id long, n long, node binary, parities binary, row int, counts binary"
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_pass(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """A row for each document; at the end the task's counts, a row for each ROW buckets of the sketch."""
     names = [x.split()[0] for x in _NODES.split(", ")]
     counts, seen, held, many = np.zeros(SKETCH, np.uint32), set(), [], 0
@@ -154,7 +164,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in pieces(batch, "text"):
-            sets = shingle_sets(part.column("text"))
+            sets = shingle_sets(part.column("text"), shingle)
             nodes = [_digest(s) if len(s) else None for s in sets]
             for node, s in zip(nodes, sets, strict=True):
                 if node is not None and node not in seen:  # most copies count once
@@ -225,9 +235,9 @@ def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], similarity: int = SIMILARITY) -> np.ndarray:
     """The numbers of the pairs i, j whose sizes and parities don't rule a link out."""
-    ok = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+    ok = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
     for place, matrix in levels:
         kept, step = [], (1 << 21) // matrix.shape[1]
         for a in range(0, len(ok), step):
@@ -235,12 +245,12 @@ def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[
             x, y = place[i[part]], place[j[part]]
             apart = np.bitwise_count(matrix[x] ^ matrix[y]).sum(1, dtype=np.int64) if len(matrix) else 0
             both = n[i[part]] + n[j[part]]
-            kept.append(part[(x < 0) | (y < 0) | (apart <= both - 2 * needed(0, both))])
+            kept.append(part[(x < 0) | (y < 0) | (apart <= both - 2 * needed(0, both, similarity))])
         ok = np.concatenate(kept) if kept else ok
     return ok
 
 
-def _candidates(every: bool) -> Callable:
+def _candidates(every: bool, similarity: int) -> Callable:
     """From posting lists (key, side, node, n, parities, label): for each node its first compatible partner, or every
     compatible pair of different labels."""
 
@@ -269,7 +279,7 @@ def _candidates(every: bool) -> Callable:
                 if every:
                     keep &= label[i] != label[j]
                 i, j = i[keep], j[keep]
-                ok = _compatible(i, j, n, levels)
+                ok = _compatible(i, j, n, levels, similarity)
                 i, j = i[ok], j[ok]
                 if not every:  # i rises within j, so the first is the smallest
                     first = np.unique(j, return_index=True)[1]
@@ -284,7 +294,7 @@ def _candidates(every: bool) -> Callable:
     return run
 
 
-def walk(probe: np.ndarray, sets: list[np.ndarray]) -> Iterator[int]:
+def walk(probe: np.ndarray, sets: list[np.ndarray], similarity: int = SIMILARITY) -> Iterator[int]:
     """The numbers of the ordered sets that link with the ordered set ``probe``, by a walk of their prefix tree.
 
     The tree's nodes are ranges of the lexicographically sorted sets that share a beginning of some length."""
@@ -295,7 +305,7 @@ def walk(probe: np.ndarray, sets: list[np.ndarray]) -> Iterator[int]:
     while stack:
         low, high, depth, overlap = stack.pop()
         least, most = int(lengths[low:high].min()), int(lengths[low:high].max())
-        if overlap + min(a - overlap, most - depth) < needed(a, least):
+        if overlap + min(a - overlap, most - depth) < needed(a, least, similarity):
             continue
         first, last = sets[order[low]], sets[order[high - 1]]
         end = min(len(first), len(last), depth + EDGE)
@@ -305,7 +315,7 @@ def walk(probe: np.ndarray, sets: list[np.ndarray]) -> Iterator[int]:
         if len(edge):
             overlap += int((mine[np.minimum(np.searchsorted(mine, edge), a - 1)] == edge).sum())
         while low < high and lengths[low] == end:  # sets that end here come first
-            if overlap >= needed(a, end):
+            if overlap >= needed(a, end, similarity):
                 yield order[low]
             low += 1
         if low < high and len(differ):
@@ -320,7 +330,7 @@ def walk(probe: np.ndarray, sets: list[np.ndarray]) -> Iterator[int]:
             stack.append((low, high, end, overlap))
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     """Links from bundles (a, bundle, node, tokens), where the node a itself stands among its candidates."""
     for table in _groups(batches, ["a", "bundle"]):
         a, bundle = table.column("a").to_pylist(), table.column("bundle").to_pylist()
@@ -331,22 +341,22 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             probe = next((np.frombuffer(tokens[k], np.uint64) for k in range(begin, end) if node[k] == a[begin]), None)
             others = [k for k in range(begin, end) if node[k] != a[begin]]
-            links += [(a[begin], node[others[k]]) for k in walk(probe, [np.frombuffer(tokens[k], np.uint64) for k in others])]
+            links += [(a[begin], node[others[k]]) for k in walk(probe, [np.frombuffer(tokens[k], np.uint64) for k in others], similarity)]
             begin = end
         if links:
             x, y = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sketch) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, sketch, shingle: int, similarity: int) -> DataFrame:
     """Those of the pairs that link."""
     active = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = _sets(docs, active, sketch)
+    sets = _sets(docs, active, sketch, shingle)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BUNDLE).alias("_k"))
     many = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "_k").alias("bundle"), "b")
     members = many.select("a", "bundle", F.col("b").alias("node")).unionByName(many.select("a", "bundle", F.col("a").alias("node")).distinct())
     filled = members.join(sets, "node").repartition("a", "bundle").sortWithinPartitions("a", "bundle")
-    return cut(filled.select("a", "bundle", "node", "tokens").mapInArrow(_check, "a binary, b binary"))
+    return cut(filled.select("a", "bundle", "node", "tokens").mapInArrow(partial(_check, similarity=similarity), "a binary, b binary"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -367,10 +377,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, by shingles of so many words and the least similarity as a part of 100."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = cut(docs.mapInArrow(_first_pass, _NODES))
+    first = cut(docs.mapInArrow(partial(_first_pass, shingle=shingle), _NODES))
     sketch = docs.sparkSession.sparkContext.broadcast(hot(_sketch(first)))
     rows = first.filter("row is null").select("doc_id", "n", "node", "parities")
     # copies meet here, a row for each task and node
@@ -382,11 +392,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 keys, owners = [], []
-                for s in shingle_sets(part.column("text")):
+                for s in shingle_sets(part.column("text"), shingle):
                     if not len(s) or (node := _digest(s)) in seen:
                         continue
                     seen.add(node)
-                    keys.append(prefix(s, sketch.value))
+                    keys.append(prefix(s, sketch.value, similarity))
                     owners.append(node)
                 if len(seen) > 200_000:
                     seen.clear()
@@ -411,12 +421,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     two = F.row_number().over(Window.partitionBy("node").orderBy("key"))
     dealt = lists.withColumn("_two", two).filter("_two <= 2").drop("_two").repartition("key").sortWithinPartitions("key", "node")
-    near = cut(dealt.mapInArrow(_candidates(False), "a binary, b binary").distinct())
-    links = _links(near, docs, sketch)
+    near = cut(dealt.mapInArrow(_candidates(False, similarity), "a binary, b binary").distinct())
+    links = _links(near, docs, sketch, shingle, similarity)
     labels = components(links)
     again = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key").sortWithinPartitions("key", "node")
-    rest = cut(again.mapInArrow(_candidates(True), "a binary, b binary").distinct())
-    labels = components(links.unionByName(_links(rest, docs, sketch)))
+    rest = cut(again.mapInArrow(_candidates(True, similarity), "a binary, b binary").distinct())
+    labels = components(links.unionByName(_links(rest, docs, sketch, shingle, similarity)))
 
     found = labels.join(nodes.select("node", "least"), "node")
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -431,7 +441,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
 FILTER = 1 << 26
 
 
-def _sets(docs: DataFrame, active: DataFrame, sketch) -> DataFrame:
+def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame:
     """node, tokens of the active nodes. A bit set of fixed size leaves most others out before the join."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +472,7 @@ def _sets(docs: DataFrame, active: DataFrame, sketch) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 out = []
-                for s in shingle_sets(part.column("text")):
+                for s in shingle_sets(part.column("text"), shingle):
                     if not len(s) or (node := _digest(s)) in seen:
                         continue
                     place = int.from_bytes(node[:8], "little") % FILTER
@@ -478,16 +488,16 @@ def _sets(docs: DataFrame, active: DataFrame, sketch) -> DataFrame:
     return docs.select("text").mapInArrow(build, "node binary, tokens binary").join(active, "node").dropDuplicates(["node"])
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: int = NEAR_SIMILARITY) -> DataFrame:
     """The document of the smallest doc_id of each component, with its own columns; one of its rows if it has more."""
-    joined = link_documents(docs)
+    joined = link_documents(docs, shingle, similarity)
     heads = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
     keep = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_null", F.col("doc_id").isNull())
     return keep.join(heads, ["_id", "_null"], "left_semi").dropDuplicates(["_id", "_null"]).select(*docs.columns)
 
 
 def op10_ngram_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(read(spark, sf_dir, "documents"))
+    return link_documents(read(spark, sf_dir, "documents"), SHINGLE, SIMILARITY)
 
 
 OP10_SQL = r"""

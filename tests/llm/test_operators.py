@@ -205,3 +205,23 @@ def test_html():
     leaves = html.blocks("<head><title>t</title></head><body><p>a &amp;<br>b\n <b>c</b><p>d<script>x</script><!-- y --><ul><li>e<li>f</ul>g < h")
     assert [t for _, t, _ in leaves] == ["a & b c", "d", "e", "f", "g < h"]
     assert html.blocks("") == [] and html.texts(["", "<p"], model) == ["", ""]
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    whole = passage(21, 400).split()
+    edited = [f"edit{k}" if k % 48 == 20 else w for k, w in enumerate(whole)]
+    rows = [" ".join(whole), " ".join(edited), " ".join(whole + passage(22, 60).split()), passage(23, 400)]
+    for k, low, high in ((1, 80, 90), (2, 80, 90), (3, 0, 1)):
+        a, b = (set(jaccard.shingle_sets(pa.array([rows[i]]), 5)[0].tolist()) for i in (0, k))
+        assert low <= 100 * len(a & b) / len(a | b) < high
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.distinct_documents(df).collect()} == {0, 3}
+    assert {r.component_id for r in jaccard.link_documents(df, 3, 90).collect()} == {0, 1, 2, 3}
+    assert (jaccard.postings_enough(90), jaccard.postings_enough(80), jaccard.postings_enough(40)) == (32, 57, None)
+    rng, sketch = np.random.default_rng(5), np.zeros(jaccard.SKETCH, np.uint32)
+    for n in (1, 4, 50, 270, 280, 700, 3000):
+        first = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        second = np.unique(np.append(first[np.arange(len(first)) % 10 != 9], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)))
+        linked = 100 * len(np.intersect1d(first, second)) >= 80 * len(np.union1d(first, second))
+        assert linked and len(np.intersect1d(jaccard.prefix(first, sketch, 80), jaccard.prefix(second, sketch, 80)))
+        assert list(jaccard.walk(first, [second], 80)) == [0]
