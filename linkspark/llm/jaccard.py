@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Spans, cut, mix, pieces, read, salted_join, table, utf8, words
+from .common import WORD, Spans, cut, mix, pieces, read, salted_join, table, utf8, words
 
 #: op10's words of a shingle and least similarity, as a part of 100.
 SHINGLE, SIMILARITY = 3, 90
@@ -148,7 +148,7 @@ def prefix(found: np.ndarray, sketch: np.ndarray, similarity: int = SIMILARITY)
     return ordered(found, sketch)[:many]
 
 
-_NODES = "doc_id long, n long, node binary, parities binary, row int, counts binary"
+_NODES = "doc_id long, key binary, n long, node binary, parities binary, row int, counts binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -177,12 +177,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
                 seen.clear()
             empty = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([_parities(s) if len(s) else None for s in sets], pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names
+                [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([_parities(s) if len(s) else None for s in sets], pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names
             )
     count()
     rows = [i for i in range(SKETCH // ROW) if counts[i * ROW : (i + 1) * ROW].any()]
     if rows:
-        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(rows, pa.int32()), pa.array([pa.compress(counts[i * ROW : (i + 1) * ROW].tobytes(), "zstd", asbytes=True) for i in rows], pa.binary())], names)
 
 
@@ -377,12 +377,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, by shingles of so many words and the least similarity as a part of 100."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _linked(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From doc_id, key, text: a row for each document (doc_id, key, n, node), the nodes, and the labels of those that
+    have a link."""
     first = cut(docs.mapInArrow(partial(_first_pass, shingle=shingle), _NODES))
     sketch = docs.sparkSession.sparkContext.broadcast(hot(_sketch(first)))
-    rows = first.filter("row is null").select("doc_id", "n", "node", "parities")
+    rows = first.filter("row is null").select("doc_id", "key", "n", "node", "parities")
     # copies meet here, a row for each task and node
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("parities").alias("parities"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = cut(nodes)
@@ -426,8 +426,12 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     labels = components(links)
     again = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key").sortWithinPartitions("key", "node")
     rest = cut(again.mapInArrow(_candidates(True, similarity), "a binary, b binary").distinct())
-    labels = components(links.unionByName(_links(rest, docs, sketch, shingle, similarity)))
+    return rows.drop("parities"), nodes, components(links.unionByName(_links(rest, docs, sketch, shingle, similarity)))
+
 
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, by shingles of so many words and the least similarity as a part of 100."""
+    rows, nodes, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), "text"), shingle, similarity)
     found = labels.join(nodes.select("node", "least"), "node")
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
     found = found.join(least, "label").select("node", "component_id")
@@ -489,11 +493,17 @@ def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame
 
 
 def distinct_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: int = NEAR_SIMILARITY) -> DataFrame:
-    """The document of the smallest doc_id of each component, with its own columns; one of its rows if it has more."""
-    joined = link_documents(docs, shingle, similarity)
-    heads = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
-    keep = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_null", F.col("doc_id").isNull())
-    return keep.join(heads, ["_id", "_null"], "left_semi").dropDuplicates(["_id", "_null"]).select(*docs.columns)
+    """A row of each component, with its own columns: of the smallest doc_id (null last), then of the least digest of
+    its text, whatever doc_ids other components have. A row without words is its own component, but rows of one
+    doc_id (that isn't null) and text are copies."""
+    keys = {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_key": F.unhex(F.md5("text"))}
+    rows, _, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), keys["_key"].alias("key"), "text"), shingle, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key"))).alias("first")
+    heads = rows.filter("node is not null").groupBy("node").agg(first).join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select("first.*")
+    keyed, worded = docs.withColumns(keys), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    linked = keyed.filter(worded).join(heads, [*keys], "left_semi").dropDuplicates([*keys])
+    empty = keyed.filter(~worded).withColumn("_row", F.when(F.col("_null"), F.monotonically_increasing_id())).dropDuplicates([*keys, "_row"])
+    return linked.select(*docs.columns).unionByName(empty.select(*docs.columns))
 
 
 def op10_ngram_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,10 +120,10 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["_key", "size"]].assign(_base=base, _take=take)
 
 
-def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
+def _mix(docs: DataFrame, seed: int, text: Column) -> DataFrame:
+    """doc_id, _key, _text, size, source_size, target, _copies, a row for each document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source").cast("string")).alias("_key"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source").cast("string")).alias("_key"), size.alias("size"), text.alias("_text"))
     rows = cut(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))).withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
     groups = cut(rows.groupBy("_key", "size", "_salt").agg(F.count("*").alias("n")))
     lengths = groups.groupBy("_key", "size").agg(F.sum("n").alias("n"))
@@ -133,16 +133,26 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("_key", "size").orderBy("_salt")) - F.col("n")
     quotas = groups.withColumn("_before", before).join(plan, ["_key", "size"]).join(targets, "_key")
     quotas = quotas.select("_key", "size", "_salt", "source_size", "target", "_base", F.greatest(F.lit(0), F.least(F.col("n"), F.col("_take") - F.col("_before"))).alias("_quota"))
-    number = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_h", "doc_id"))
+    number = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_h", "doc_id", "_text"))
     copies = F.col("_base") + (number <= F.col("_quota")).cast("int")
-    return rows.join(quotas, ["_key", "size", "_salt"]).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return rows.join(quotas, ["_key", "size", "_salt"]).select("doc_id", "_key", "_text", "size", "source_size", "target", copies.alias("_copies"))
+
+
+def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    return _mix(docs, seed, F.lit(None).cast("binary")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The documents as often as the mix takes them. A doc_id that stands in several rows takes what they take."""
-    taken = mix_documents(docs, seed).filter("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = taken.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    return docs.join(taken, F.col("doc_id").cast("long") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents as often as the mix takes them. Rows of one doc_id (or none), source and text take together what
+    they take; as such rows differ by a copy at most, so many of them take one more."""
+    text, same = F.unhex(F.md5("text")), ["_null", "_id", "_key", "_text"]
+    null, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    taken = _mix(docs, seed, text).filter("size > 0").groupBy(null.alias("_null"), number.alias("_id"), "_key", "_text")
+    taken = taken.agg(F.min("_copies").alias("_base"), (F.sum("_copies") - F.min("_copies") * F.count("*")).alias("_more")).filter("_base + _more > 0")
+    rows = docs.withColumns({"_null": null, "_id": number, "_key": _key(F.col("source").cast("string")), "_text": text}).join(taken, same)
+    copies = F.col("_base") + (F.row_number().over(Window.partitionBy(*same).orderBy("_id")) <= F.col("_more")).cast("int")
+    return rows.withColumn("_copies", copies.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

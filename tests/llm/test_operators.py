@@ -225,3 +225,25 @@ def test_near_duplicates_of_the_pipeline(spark):
         linked = 100 * len(np.intersect1d(first, second)) >= 80 * len(np.union1d(first, second))
         assert linked and len(np.intersect1d(jaccard.prefix(first, sketch, 80), jaccard.prefix(second, sketch, 80)))
         assert list(jaccard.walk(first, [second], 80)) == [0]
+
+
+def test_null_ids_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    made = [passage(40 + i, 60) for i in range(9)]
+    rows = [(None, made[0], "s1"), (None, made[0], "s1"), (None, made[0] + " end", "s1"), (None, made[1], None), (None, made[2], "s1"), (7, made[3], "s1"), (7, made[4], "s1"), (8, made[5], "s2"), (None, made[5], "s2"), (9, made[6], None)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda d: sorted((r.doc_id or -1, r.text) for r in d.collect())
+    got = pairs(jaccard.distinct_documents(df))
+    first = [t for i, t in got if t.startswith(made[0])]
+    assert len(first) == 1 and got == sorted([(-1, first[0]), (-1, made[1]), (-1, made[2]), (7, made[3]), (7, made[4]), (8, made[5]), (9, made[6])])
+    empty = spark.createDataFrame([(None, None), (None, " "), (None, " "), (3, ""), (3, ""), (3, " "), (4, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.text or "") for r in jaccard.distinct_documents(empty).collect()) == [(-1, ""), (-1, " "), (-1, " "), (3, ""), (3, " "), (4, "")]
+    one = df.withColumn("source", F.lit("s"))
+    assert pairs(mixing.mixed(one)) == sorted((i or -1, t) for i, t, _ in rows)  # one source: each row once
+    taken = {r.size: r.n for r in mixing.mix_documents(df).groupBy("size").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("n")).collect()}
+    assert taken == {r.size: r.n for r in mixing.mixed(df).groupBy(F.size(F.split("text", " ")).alias("size")).agg(F.count("*").alias("n")).collect()}
+    docs = one
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "").localCheckpoint()
+    assert sorted(r.doc_id or -1 for r in docs.collect()) == [-1, -1, -1, 7, 7, 8, 9]
