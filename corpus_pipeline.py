@@ -1,7 +1,8 @@
 """A training corpus from documents: language, quality, near duplicates, mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
-of documents. What `run` returns has no SQL: Kneser-Ney models, knapsacks and BPE aren't expressible.
+of documents. The last returns doc_id, the count and digests of its tokens and their ids. That has no SQL:
+Kneser-Ney models, knapsacks and BPE aren't expressible.
 """
 
 from __future__ import annotations

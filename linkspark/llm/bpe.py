@@ -92,30 +92,33 @@ def decode(ids: list[int], leaf: Callable[[list[int]], bytes], size: int = DECOD
     return decode(ids[:half], leaf, size) + decode(ids[half:], leaf, size)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, the digests of the ids and of the decoded bytes and, if wanted, the ids themselves."""
+def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, the digests of the ids and of the decoded bytes, the ids and, if wanted, the decoded bytes."""
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for batch in batches:
             for part in pieces(batch, "text"):
-                counts, shas, decoded, lists = [], [], [], []
+                counts, shas, digests, lists, whole = [], [], [], [], []
                 for text in part.column("text"):
                     got = encode(text.as_py() or "", enc.encode_ordinary)
                     array = np.array(got, "<u4")
                     counts.append(len(got))
                     shas.append(hashlib.sha256(array.tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(decode(got, enc.decode_bytes)).hexdigest())
+                    back = decode(got, enc.decode_bytes)
+                    digests.append(hashlib.sha256(back).hexdigest())
                     if ids:
                         lists.append(array.astype(np.int32))
-                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if ids else []), names)
+                    if decoded:
+                        whole.append(back)
+                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if ids else []) + ([pa.array(whole, pa.binary())] if decoded else []), names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents"))
+    return encode_documents(read(spark, sf_dir, "documents"), ids=False)

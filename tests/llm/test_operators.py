@@ -247,3 +247,12 @@ def test_null_ids_in_the_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "").localCheckpoint()
     assert sorted(r.doc_id or -1 for r in docs.collect()) == [-1, -1, -1, 7, 7, 8, 9]
+
+
+def test_token_ids_of_the_pipeline(spark, docs):
+    import corpus_pipeline
+
+    enc = bpe.encoding(public_tokenizers.path(bpe.RANKS))
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    assert all(got[i] == enc.encode_ordinary(t or "") for i, t in enumerate(texts()))
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.encode_documents(docs, decoded=True).collect() if r.doc_id is not None} == {i: t or "" for i, t in enumerate(texts())}
