@@ -267,7 +267,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
 
 
 def _rank(bounds: list[int], value):
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)) if len(bounds) <= 64 else _bisect(bounds, value, 0)
+    """The number of bounds at or under ``value``; null for null."""
+    return F.when(value.isNotNull(), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value))) if len(bounds) <= 64 else _bisect(bounds, value, 0)
 
 
 def _bisect(bounds: list[int], value, first: int):

@@ -256,3 +256,15 @@ def test_token_ids_of_the_pipeline(spark, docs):
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
     assert all(got[i] == enc.encode_ordinary(t or "") for i, t in enumerate(texts()))
     assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.encode_documents(docs, decoded=True).collect() if r.doc_id is not None} == {i: t or "" for i, t in enumerate(texts())}
+
+
+@pytest.mark.parametrize("shards", [1, 3, 80])
+def test_null_ids_in_token_shards(spark, monkeypatch, shards):
+    rows = [(i if i % 10 else None, f"w{i} " * (i % 7)) for i in range(240)]
+    monkeypatch.setattr(tokens, "SHARD", 240 // shards)
+    path = scratch(spark, "t")
+    tokens.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert (spark.read.parquet(f"{path}/images").select("shard").distinct().count() > shards // 2) and len(got := sorted(tokens.read_shards(spark, path).collect(), key=lambda r: r.start)) == 240
+    ids = [r.doc_id for r in got]
+    assert ids[:216] == sorted(i for i, _ in rows if i is not None) and ids[216:] == [None] * 24
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(240)]
