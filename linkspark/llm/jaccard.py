@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Spans, cut, mix, pieces, read, salted_join, table, utf8, words
+from .common import WORD, Spans, cut, mix, pieces, read, release, salted_join, table, utf8, words
 
 #: op10's words of a shingle and least similarity, as a part of 100.
 SHINGLE, SIMILARITY = 3, 90
@@ -500,6 +500,8 @@ def distinct_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity:
     rows, _, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), keys["_key"].alias("key"), "text"), shingle, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key"))).alias("first")
     heads = rows.filter("node is not null").groupBy("node").agg(first).join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select("first.*")
+    heads, rows, labels = cut(heads), None, None
+    release(docs.sparkSession)  # the texts are shuffled next
     keyed, worded = docs.withColumns(keys), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     linked = keyed.filter(worded).join(heads, [*keys], "left_semi").dropDuplicates([*keys])
     empty = keyed.filter(~worded).withColumn("_row", F.when(F.col("_null"), F.monotonically_increasing_id())).dropDuplicates([*keys, "_row"])
