@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the folder that spark.checkpoint.dir names, and go on from there.
 
-    Only where the session names no folder (a test on one machine) a temporary one is set.
+    Only where the session names no folder a temporary one is set, and that on one machine alone.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -43,10 +43,29 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return named or sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def field(df: DataFrame, name: str):
+    """A column by its exact name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -127,6 +146,27 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + mix((end - start).astype(np.uint64)))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The hashes of ascending spans that don't overlap, with memory for about ``step`` bytes of text at a time."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, low + step, "right")))
+        high = int(end[to - 1])
+        if high - low <= step:
+            out[at:to] = Spans(data[low:high]).hash(start[at:to] - low, end[at:to] - low)
+        else:  # one span longer than a step: its parts are added up, each by its place
+            total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for a in range(low, high, step):
+                part = data[a : min(high, a + step)]
+                total += Spans(part).sums[-1] * power
+                power *= np.uint64(pow(int(_BASE), len(part), 1 << 64))
+            out[at] = mix(total + mix(np.array([high - low], np.uint64)))[0]
+        at = to
+    return out
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -146,9 +186,11 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The number of set flags in each text."""
-    sums = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return sums[at[1:]] - sums[at[:-1]]
+    out = np.zeros(len(at) - 1, np.int64)
+    full = np.flatnonzero(at[1:] > at[:-1])  # of an empty one reduceat would give the next flag
+    if len(full):
+        out[full] = np.add.reduceat(flags, at[full], dtype=np.int64)
+    return out
 
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,30 +1,47 @@
 """Host-level quality rules (op1).
 
-Each document is tested on its own (too few words, or too many of them in repeated five-word windows). The
-failures are counted by host, each host's rate is shrunk towards the rates of all hosts by a beta prior fitted to
-them by moments, and a host whose shrunk rate reaches ``max_rate`` takes its other documents with it.
+Each document is tested by four rules (too few words, too many of them in repeated five-word windows, too many symbols,
+too many repeated lines), the first two of which it must pass by itself. The failures of every rule are counted by
+host, and each host's rate is shrunk towards the rate of all documents by a beta prior: its mean is that rate, its
+strength m(1-m)/v - 1 with the variance v between hosts, which is what the spread of the hosts' rates has beyond the
+binomial spread of as many documents (none: the hosts are taken as alike, by the greatest strength). From the beta
+posterior, in the normal approximation, a host gets two verdicts for each rule:
+
+- rejected, if its rate is above ``REJECT_RATE`` with a chance of 0.99: all its documents go;
+- watched, if its rate is above the mean of all with a chance of 0.999 and 1.5 times that mean or more: its documents
+  are held to twice as strict a limit of that rule.
+
+Hosts whose rates differ by chance alone are neither. Verdicts are joined back to the documents.
 
 Defined results: a null or empty text has no words and fails. Documents without a host form one host. Repeated rows
-count each time. An empty table gives an empty result. Other columns are left alone by ``filter_documents`` and
-don't appear in ``score_documents``.
+count each time. An empty table gives an empty result. Columns of any other name are left alone by
+``filter_documents``, whatever they are called, and don't appear in ``score_documents``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Spans, cut, mix, per_text, pieces, read, repeated, salted_join, utf8, words
+from .common import _SPACE, cut, fresh, mix, per_text, pieces, read, repeated, salted_join, span_hashes, table, utf8, words
 
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
+MAX_SYMBOLS = 10  # per cent of the words
+MAX_LINES = 5  # repeated lines, per cent of the words
 WINDOW = 5
-MAX_RATE = 0.8
-#: So many rejected hosts at most are broadcast; more are joined by shuffle.
+REJECT_RATE = 0.5
+#: Standard normal quantiles of 0.99 and 0.999, and how much a watched host's rate is above the mean.
+REJECT_Z, WATCH_Z, WATCH_RATIO = 2.326, 3.09, 1.5
+#: The least and the greatest strength of a prior, in documents.
+STRENGTHS = (1.0, 1e6)
+#: So many hosts at most are broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 100_000
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -37,16 +54,11 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     data, at = utf8(texts)
     n = len(at) - 1
     start, end, text = words(data, at)
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[start] += 1
-    np.subtract.at(inside, end, 1)
-    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
     out = {
         "n_words": np.bincount(text, minlength=n).astype(np.int64),
-        "word_chars": per_text(inside & ((data & 0xC0) != 0x80), at),
+        "word_chars": per_text(~_SPACE[data] & ((data & 0xC0) != 0x80), at),
         "n_symbols": per_text(_SYMBOL[data], at),
     }
-    spans = Spans(data)
     salt = mix(np.arange(1, n + 1, dtype=np.uint64))
 
     feeds = np.flatnonzero(data == 10)
@@ -55,14 +67,12 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     stop = np.minimum(np.append(line[1:], len(data)), len(data))
     owner = np.searchsorted(at, line, "right") - 1
     ends_fed = data[stop - 1] == 10 if len(line) else np.zeros(0, bool)
-    full = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside, out=full[1:])
-    worded = full[stop] > full[line]
-    keys = spans.hash(line, stop - ends_fed) + salt[owner]
+    worded = np.searchsorted(start, stop) > np.searchsorted(start, line)  # a word has no line feed
+    keys = span_hashes(data, line, stop - ends_fed) + salt[owner]
     _, later = repeated(keys[worded])
     out["n_dup_lines"] = np.bincount(owner[worded][later], minlength=n).astype(np.int64)
 
-    hashes = spans.hash(start, end)
+    hashes = span_hashes(data, start, end)
     count = len(start) - WINDOW + 1
     covered = np.zeros(len(start) + 1, np.int64)
     if count > 0:
@@ -77,56 +87,103 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "_text"):
-            rest = [c for c in part.schema.names if c != "_text"]
-            counts = measure(part.column("_text"))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(pa.array(counts[c]) for c in _COUNTS)], [*rest, *(f"_{c}" for c in _COUNTS)])
-
-
-def base_failed(prefix: str = "") -> Column:
-    c = {k: F.col(f"{prefix}{k}") for k in ("n_words", "n_repeat_words")}
-    return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED * c["n_words"])
 
+@arrow_udf(StructType([StructField(c, LongType()) for c in _COUNTS]))
+def counts(texts: pa.Array) -> pa.Array:
+    found = [measure(part.column(0)) for part in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([x[c] for x in found]) if found else [], pa.int64()) for c in _COUNTS], list(_COUNTS))
 
-def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """One row a host from rows of (host, base_failed): documents, shrunk rate of failures, whether it is rejected.
 
-    The prior's mean m is the mean of the hosts' rates and its strength m(1-m)/v - 1 with their variance v, between
-    1 and 1000 pseudo-documents (1000 if the hosts don't differ). Those two numbers are all that the driver gets.
-    """
-    hosts = cut(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
-    rate = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    strength = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if v else 1000.0
-    shrunk = (F.col("failed") + (m or 0.0) * strength) / (F.col("n") + strength)
-    return hosts.select("host", shrunk.alias("host_rate"), (shrunk >= max_rate).alias("host_rejected"))
-
-
-def score_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """doc_id, the counts, base_failed, the host's shrunk rate, and kept."""
-    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.col("text").alias("_text"))
-    schema = "doc_id long, host string, " + ", ".join(f"_{c} long" for c in _COUNTS)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "host", "_text").mapInArrow(_measured, schema)
-    rows = cut(rows.select("doc_id", "host", *(F.col(f"_{c}").alias(c) for c in _COUNTS), base_failed("_").alias("base_failed")))
-    verdicts = host_verdicts(rows, max_rate)
-    joined = salted_join(rows, verdicts, ["host"], "left", ["doc_id", "n_words", "word_chars"])
-    return joined.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
+def failures(c: dict[str, Column], strict: int = 1) -> dict[str, Column]:
+    """Whether a document with the counts ``c`` fails each rule, or its limit made ``strict`` times as strict."""
+    return {
+        "few_words": c["n_words"] < MIN_WORDS * strict,
+        "repeated_words": 100 * strict * c["n_repeat_words"] > MAX_REPEATED * c["n_words"],
+        "symbols": 100 * strict * c["n_symbols"] > MAX_SYMBOLS * c["n_words"],
+        "repeated_lines": 100 * strict * c["n_dup_lines"] > MAX_LINES * c["n_words"],
+    }
 
 
-def filter_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The documents that ``score_documents`` keeps, with their own columns; texts aren't shuffled."""
-    kept = docs.withColumn("_text", F.col("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + ", ".join(f"_{c} long" for c in _COUNTS)
-    tested = kept.mapInArrow(_measured, fields).withColumn("_failed", base_failed("_"))
-    verdicts = host_verdicts(tested.select(F.coalesce(F.col("source"), F.lit("")).alias("host"), F.col("_failed").alias("base_failed")), max_rate)
-    rejected = cut(verdicts.filter("host_rejected").select("host"))
-    passed = tested.filter(~F.col("_failed")).select(*docs.columns)
-    few = rejected.count()
-    if not few:
-        return passed
-    return passed.join(F.broadcast(rejected) if few <= BROADCAST_HOSTS else rejected, F.coalesce(passed["source"], F.lit("")) == rejected["host"], "left_anti")
+RULES = ("few_words", "repeated_words", "symbols", "repeated_lines")
+
+
+def _base_failed(c: dict[str, Column]) -> Column:
+    found = failures(c)
+    return found["few_words"] | found["repeated_words"]
+
+
+def host_verdicts(rows: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
+    """From rows (host, and a boolean for each rule): host, host_rate (the greatest of its shrunk rates), rejected and
+    watched (the rules by which it is). The driver gets the prior alone, two numbers a rule."""
+    hosts = cut(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES)))
+    n = F.col("n").cast("double")
+    total = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(n * n).alias("nn"), *(F.sum(r).alias(r) for r in RULES)).first()
+    if not total["n"]:
+        return hosts.select("host", F.lit(0.0).alias("host_rate"), *(F.array().cast("array<string>").alias(x) for x in ("rejected", "watched")))
+    mean = {r: total[r] / total["n"] for r in RULES}
+    spread = hosts.agg(*(F.sum(n * (F.col(r) / n - mean[r]) * (F.col(r) / n - mean[r])).alias(r) for r in RULES)).first()
+    rates, rejected, watched = [], [], []
+    for r in RULES:
+        m, free = mean[r], total["n"] - total["nn"] / total["n"]
+        v = (spread[r] - (total["hosts"] - 1) * m * (1 - m)) / free if free > 0 else 0.0
+        strength = min(STRENGTHS[1], max(STRENGTHS[0], m * (1 - m) / v - 1)) if v > 0 else STRENGTHS[1]
+        shrunk = (F.col(r) + m * strength) / (n + strength)
+        deviation = F.sqrt(shrunk * (1 - shrunk) / (n + strength + 1))
+        rates.append(shrunk)
+        rejected.append(F.when(shrunk - REJECT_Z * deviation > reject_rate, F.lit(r)))
+        watched.append(F.when((shrunk - WATCH_Z * deviation > m) & (shrunk >= WATCH_RATIO * m), F.lit(r)))
+    return hosts.select("host", F.greatest(*rates).alias("host_rate"), F.array_compact(F.array(*rejected)).alias("rejected"), F.array_compact(F.array(*watched)).alias("watched"))
+
+
+def _kept(c: dict[str, Column], rejected: Column, watched: Column) -> Column:
+    strict = failures(c, 2)
+    fails = reduce(Column.__or__, (F.coalesce(F.array_contains(watched, r), F.lit(False)) & strict[r] for r in RULES))
+    return ~_base_failed(c) & (F.coalesce(F.size(rejected), F.lit(0)) == 0) & ~fails
+
+
+def _with_verdicts(rows: DataFrame, verdicts: DataFrame, salt_by: list[str]) -> DataFrame:
+    """``rows`` with the verdicts of their ``host``: broadcast if the hosts are few, which is counted, else salted."""
+    verdicts = cut(verdicts)
+    if verdicts.count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(verdicts), "host", "left")
+    return salted_join(rows, verdicts, ["host"], "left", salt_by)
+
+
+def _host(source: Column) -> Column:
+    return F.coalesce(source.cast("string"), F.lit(""))
+
+
+def score_documents(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, the host's greatest shrunk rate, and the rules by which it is rejected or
+    watched."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(F.col("source")).alias("host"), counts("text").alias("c")).select("doc_id", "host", "c.*")
+    rows = cut(rows)
+    c = {k: F.col(k) for k in _COUNTS}
+    verdicts = host_verdicts(rows.select("host", *(e.alias(r) for r, e in failures(c).items())), reject_rate)
+    joined = _with_verdicts(rows, verdicts, ["doc_id", "n_words", "word_chars"])
+    lists = (F.array_join(x, ",").alias(f"host_{x}") for x in ("rejected", "watched"))
+    return joined.select("doc_id", *_COUNTS, _base_failed(c).alias("base_failed"), _kept(c, F.col("rejected"), F.col("watched")).alias("kept"), F.round("host_rate", 6).alias("host_rate"), *lists)
+
+
+def filter_documents(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
+    """The documents that ``score_documents`` keeps, with their own columns. The counts are written beside the texts
+    once; texts are neither measured twice nor shuffled, as few hosts have a verdict (more are joined by shuffle)."""
+    (held,) = fresh(docs, "_counts")
+    measured = table(docs.withColumn(held, counts("text")))
+    c = {k: F.col(held)[k] for k in _COUNTS}
+    verdicts = host_verdicts(measured.select(_host(F.col("source")).alias("host"), *(e.alias(r) for r, e in failures(c).items())), reject_rate)
+    found = cut(verdicts.filter((F.size("rejected") > 0) | (F.size("watched") > 0)).select("host", "rejected", "watched"))
+    many, passed = found.count(), measured.filter(~_base_failed(c))
+    if not many:
+        return passed.drop(held)
+    host, rejected, watched = fresh(measured, "_host", "_rejected", "_watched")
+    found = found.select(F.col("host").alias(host), F.col("rejected").alias(rejected), F.col("watched").alias(watched))
+    passed = passed.withColumn(host, _host(F.col("source")))
+    if many <= BROADCAST_HOSTS:
+        joined = passed.join(F.broadcast(found), host, "left")
+    else:
+        joined = salted_join(passed, found, [host], "left", [held + ".n_words", held + ".word_chars"])
+    return joined.filter(_kept(c, F.col(rejected), F.col(watched))).drop(host, rejected, watched, held)
 
 
 def op1_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,12 +203,20 @@ base AS (
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
-failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
-hosts AS (SELECT host, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM failed GROUP BY host),
-prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-rated AS (
-  SELECT host, (f + m * s) / (n + s) AS host_rate FROM hosts,
-    (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM prior))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rate >= 0.8 AS kept, round(host_rate, 6) AS host_rate
-FROM failed JOIN rated USING (host)
+failed AS (SELECT *, n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repeated_words, 100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 5 * n_words AS repeated_lines FROM base),
+long AS (SELECT host, rule, fails FROM (UNPIVOT failed ON few_words, repeated_words, symbols, repeated_lines INTO NAME rule VALUE fails)),
+hosts AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, sum(CAST(fails AS INT)) AS f FROM long GROUP BY host, rule),
+means AS (SELECT rule, sum(f) / sum(n) AS m, count(*) AS h, sum(n) AS total, sum(n * n) AS nn FROM hosts GROUP BY rule),
+priors AS (SELECT rule, m, CASE WHEN total - nn / total > 0 THEN (s - (h - 1) * m * (1 - m)) / (total - nn / total) ELSE 0 END AS v
+  FROM means JOIN (SELECT rule, sum(n * (f / n - m) * (f / n - m)) AS s FROM hosts JOIN means USING (rule) GROUP BY rule) USING (rule)),
+strengths AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM priors),
+shrunk AS (SELECT host, rule, m, (f + m * s) / (n + s) AS p, n + s + 1 AS d FROM hosts JOIN strengths USING (rule)),
+marks AS (SELECT host, rule, p, p - 2.326 * sqrt(p * (1 - p) / d) > 0.5 AS rejected, p - 3.09 * sqrt(p * (1 - p) / d) > m AND p >= 1.5 * m AS watched FROM shrunk),
+place AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 3), ('repeated_lines', 4)) t(rule, i)),
+verdicts AS (SELECT host, max(p) AS host_rate, coalesce(string_agg(rule, ',' ORDER BY i) FILTER (rejected), '') AS host_rejected, coalesce(string_agg(rule, ',' ORDER BY i) FILTER (watched), '') AS host_watched FROM marks JOIN place USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeated_words AS base_failed,
+  NOT few_words AND NOT repeated_words AND host_rejected = '' AND NOT (contains(host_watched, 'few_words') AND n_words < 20) AND NOT (contains(host_watched, 'repeated_words') AND 200 * n_repeat_words > 20 * n_words)
+  AND NOT (contains(host_watched, 'symbols') AND 200 * n_symbols > 10 * n_words) AND NOT (contains(host_watched, 'repeated_lines') AND 200 * n_dup_lines > 5 * n_words) AS kept,
+  round(host_rate, 6) AS host_rate, host_rejected, host_watched
+FROM failed JOIN verdicts USING (host)
 """
