@@ -1,25 +1,31 @@
 """N-gram Jaccard join by prefix trees (op10).
 
 A document's set holds the 64-bit hashes of its shingles of some words, three in op10 and five in the pipeline (A-Z
-lower-cased; with fewer words, of the whole sequence). Equal sets are one node, so that copies never meet each other. All sets are ordered alike, by hash, but
-last the shingles whose bucket is much fuller than others in a count sketch of fixed size over the whole corpus. Two
-sets of a similarity of s, 0.9 in op10 and 0.8 in the pipeline, share one among the first n - ceil(s n) + 1 of each:
+lower-cased; with fewer words, of the whole sequence). Equal sets are one node, so that copies never meet each other.
+All sets are ordered alike, by hash, but last the shingles whose bucket is much fuller than others in a count sketch of
+fixed size over the whole corpus. Two sets of a similarity of s, 0.9 in op10 and 0.8 in the pipeline, share one among
+the first n - ceil(s n) + 1 of each:
 
 1. one pass over the texts gives the nodes, with the parities of their set over 512 buckets or more, and the sketch;
 2. one gives the postings of those first shingles; the ones that a single node has go;
-3. in each posting list, split into pairs of blocks where it is long, nodes are compatible if their sizes are, and if
-   the difference of their parities, which is never more than that of the sets, is small enough;
-4. in two of its lists, each node is checked with its first compatible partner, and links are joined into components;
-5. in all lists, all compatible pairs of different components are checked. That leaves out no link between
-   components, and few pairs within one. For a check, one pass over the texts gives the ordered sets it needs.
+3. in two of its lists, each node is checked with its first compatible partner, and links are joined into components.
+   Nodes are compatible if their sizes are, and if the difference of their parities, which is never more than that of
+   the sets, is small enough;
+4. lists whose nodes are all of one component go; in the others, all compatible pairs of different components are
+   checked. That leaves out no link between components, and few pairs within one. A long list is split: its largest
+   component in blocks against blocks of all others, and these against each other. For a check, one pass over the
+   texts gives the ordered sets it needs.
 
 A check puts the ordered sets of many candidates into a prefix tree and walks it with the set of one node: the
 overlap with a shared beginning is counted once, and a subtree is left as soon as what remains of both can't reach
 the overlap that its smallest set needs.
 
+Large sets post some of their prefix only, so few that the chance that linked sets share none is ``MISSED`` at most;
+``missed=None`` posts whole prefixes, and is exact but for equal hashes.
+
 Defined results: a null text, or one without words, has an empty set and links with nothing. A null doc_id takes part;
 component_id is the smallest doc_id that isn't null (null if there is none). Repeated rows are copies. An empty table
-gives an empty result.
+gives an empty result. Long texts are hashed in windows. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import WORD, Spans, cut, mix, pieces, read, release, salted_join, table, utf8, words
+from .common import WORD, cut, fresh, mix, pieces, read, release, salted_join, span_hashes, table, utf8, words
 
 #: op10's words of a shingle and least similarity, as a part of 100.
 SHINGLE, SIMILARITY = 3, 90
@@ -71,7 +78,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     data, at = utf8(texts)
     data = _LOWER[data]
     start, end, text = words(data, at)
-    hashes = Spans(data).hash(start, end)
+    hashes = span_hashes(data, start, end)
     first = np.searchsorted(text, np.arange(len(at)))
     rolled = hashes[: max(0, len(hashes) - size + 1)].copy()
     for k in range(1, size):
@@ -134,17 +141,21 @@ def ordered(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return found[np.argsort(sketch[_bucket(found)], kind="stable")]
 
 
-def prefix(found: np.ndarray, sketch: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
-    """The first shingles of a sorted set that its postings are made of.
+def prefix(found: np.ndarray, sketch: np.ndarray, similarity: int = SIMILARITY, missed: float | None = MISSED) -> np.ndarray:
+    """The first shingles of a sorted set that its postings are made of: all of its prefix, if ``missed`` is None.
 
-    Of a set of which half or more isn't hot, some are enough: without the hot ones, sets that link at a similarity
-    of s have one of 1 - 2 (1 - s) at least (0.8 for 0.9, 0.6 for 0.8), and the first by hash are a random sample of
-    their union, so that the chance that sets share none of the first k is (2 (1 - s)) ** k. From k = 32 for 0.9 and
-    k = 57 for 0.8 on that is MISSED at most, below that of equal hashes of different shingles.
+    Else, of a set of which a share h is hot, some are enough: without the hot ones, sets that link at a similarity of
+    s, one of which has a hot share of h at most, have a similarity of (s - h) / (1 - h) at least, so a part of
+    (1 - s) / (1 - h) of their union isn't common. The first by hash are a random sample of that union, so that the
+    chance that sets share none of the first k is that part to the power of k (for the smaller k of the two, which
+    goes with the smaller h). Without hot shingles 23 are enough for 0.9 and 32 for 0.8.
     """
-    many, enough = len(found) + (-similarity * len(found)) // 100 + 1, postings_enough(similarity)
-    if enough and many > enough and 2 * int((sketch[_bucket(found)] == 0).sum()) >= len(found):
-        many = enough
+    many = len(found) + (-similarity * len(found)) // 100 + 1
+    if missed is not None and len(found):
+        hot_share = int((sketch[_bucket(found)] != 0).sum()) / len(found)
+        apart = (100 - similarity) / 100 / (1 - hot_share) if hot_share < 1 else 1.0
+        if apart < 0.5:
+            many = min(many, math.ceil(round(math.log(missed) / math.log(apart), 6)))
     return ordered(found, sketch)[:many]
 
 
@@ -225,11 +236,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j of positions within consecutive groups of these sizes."""
+def _pairs_within(sizes: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of positions within consecutive groups of these sizes, or those with i below ``first[j]``."""
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(sizes.sum())
-    many = place - begin  # partners before it
+    many = (place if first is None else first) - begin  # partners before it
     j = np.repeat(place, many)
     i = np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
     return i, j
@@ -251,8 +262,8 @@ def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[
 
 
 def _candidates(every: bool, similarity: int) -> Callable:
-    """From posting lists (key, side, node, n, parities, label): for each node its first compatible partner, or every
-    compatible pair of different labels."""
+    """From posting lists (key, side, node, n, parities, label), sorted by key, label and node: for each node its first
+    compatible partner, or every compatible pair of different labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[bytes, bytes]] = set()
@@ -263,27 +274,33 @@ def _candidates(every: bool, similarity: int) -> Callable:
             n = table.column("n").to_numpy().astype(np.int64)
             levels = _levels(table.column("parities").to_pylist())
             side = table.column("side").to_numpy()
-            label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1] if every else None
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            edges = np.flatnonzero(new)
             sizes = np.diff(np.append(edges, len(key)))
+            # pairs of one label needn't be made: partners stand before the first of the same list and label
+            first = np.arange(len(key))
+            if every:
+                label = np.array(table.column("label").to_pylist(), object)
+                starts = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
+                first = np.repeat(starts, np.diff(np.append(starts, len(key))))
+            work = np.add.reduceat(first - np.repeat(edges, sizes), edges) if len(edges) else np.zeros(0, np.int64)
             found: set[tuple[bytes, bytes]] = set()
             if len(told) > 500_000:
                 told.clear()
             done = 0
             while done < len(sizes):  # some millions of pairs at a time
-                to = done + max(1, int(np.searchsorted(np.cumsum(sizes[done:].astype(np.int64) ** 2), 1 << 22, "right")))
+                to = done + max(1, int(np.searchsorted(np.cumsum(work[done:]), 1 << 21, "right")))
                 base = edges[done]
-                i, j = _pairs_within(sizes[done:to])
+                end = edges[to] if to < len(edges) else len(key)
+                i, j = _pairs_within(sizes[done:to], first[base:end] - base)
                 i, j = i + base, j + base
                 keep = (side[i] != side[j]) | (side[i] == 2)
-                if every:
-                    keep &= label[i] != label[j]
                 i, j = i[keep], j[keep]
                 ok = _compatible(i, j, n, levels, similarity)
                 i, j = i[ok], j[ok]
                 if not every:  # i rises within j, so the first is the smallest
-                    first = np.unique(j, return_index=True)[1]
-                    i, j = i[first], j[first]
+                    least = np.unique(j, return_index=True)[1]
+                    i, j = i[least], j[least]
                 found.update((min(a, b), max(a, b)) for a, b in zip(node[i], node[j], strict=True) if a != b)
                 done = to
             if found := found - told:
@@ -377,7 +394,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Keys of hot shingles are dealt to so many tasks; a shingle that isn't hot has few postings by the sketch.
+SALTS = 16
+
+
+def _shared_lists(listed: DataFrame) -> DataFrame:
+    """key, node, n, df: the postings (key, hot, node, n) whose key two nodes or more have. Those of one key are
+    shuffled once, and counted and joined where they are then."""
+    node = F.xxhash64("node")
+    stats = [F.min(node).alias("low"), F.max(node).alias("high"), F.count("*").alias("df")]
+    cold = listed.filter(~F.col("hot")).select("key", "node", "n").repartition("key")
+    several = cold.groupBy("key").agg(*stats).filter("low <> high").select("key", "df")
+    out = cold.join(several, "key").select("key", "node", "n", "df").distinct()
+    warm = listed.filter("hot").select("key", "node", "n")
+    return out.unionByName(salted_join(warm, warm.groupBy("key").agg(*stats).filter("low <> high").select("key", "df"), ["key"], "inner", ["node"], SALTS).select("key", "node", "n", "df").distinct())
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    """key, side, node, n, label: lists of several labels (key, node, n, label, df), the long ones split so that each
+    two nodes of different labels meet once or more, and no list has over about 2 * BLOCK."""
+    small = lists.filter(F.col("df") <= 2 * BLOCK).select("key", F.lit(2).alias("side"), "node", "n", "label")
+    large = lists.filter(F.col("df") > 2 * BLOCK)
+    top = large.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    large = large.drop("df").join(top, "key")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    large = large.withColumns({"_own": F.col("label") == F.col("top.label"), "_a": blocks(F.col("top.c")), "_b": blocks(F.col("all") - F.col("top.c"))})
+    large = large.withColumn("_at", F.pmod(F.xxhash64("node"), F.when(F.col("_own"), F.col("_a")).otherwise(F.col("_b"))).cast("int"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    parts = []
+    for own, other, names in ((True, "_b", ("_at", "_c")), (False, "_a", ("_c", "_at"))):  # the top label against the others
+        met = large.filter(F.col("_own") == own).withColumn("_c", spread(F.col(other)))
+        parts.append(met.select(F.xxhash64("key", F.lit("across"), *names).alias("key"), F.lit(int(own)).alias("side"), "node", "n", "label"))
+    met = large.filter(~F.col("_own")).withColumn("_c", spread(F.col("_b")))
+    side = F.when(F.col("_at") == F.col("_c"), 2).otherwise((F.col("_at") < F.col("_c")).cast("int"))
+    parts.append(met.select(F.xxhash64("key", F.lit("among"), F.least("_at", "_c"), F.greatest("_at", "_c")).alias("key"), side.alias("side"), "node", "n", "label"))
+    return small.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+
+
+def _linked(docs: DataFrame, shingle: int, similarity: int, missed: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From doc_id, key, text: a row for each document (doc_id, key, n, node), the nodes, and the labels of those that
     have a link."""
     first = cut(docs.mapInArrow(partial(_first_pass, shingle=shingle), _NODES))
@@ -391,98 +445,126 @@ def _linked(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame,
         seen: set[bytes] = set()
         for batch in batches:
             for part in pieces(batch, "text"):
-                keys, owners = [], []
+                keys, owners, sizes = [], [], []
                 for s in shingle_sets(part.column("text"), shingle):
                     if not len(s) or (node := _digest(s)) in seen:
                         continue
                     seen.add(node)
-                    keys.append(prefix(s, sketch.value, similarity))
+                    keys.append(prefix(s, sketch.value, similarity, missed))
                     owners.append(node)
+                    sizes.append(len(s))
                 if len(seen) > 200_000:
                     seen.clear()
                 if keys:
-                    node = pa.array(owners, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), node], ["key", "node"])
-
-    listed = docs.select("text").mapInArrow(postings, "key long, node binary")
-    listed = table(listed)  # a node's postings stand together: Parquet keeps the node once
-    # by 64 bits of the node: shared, if it has two
-    short = F.xxhash64("node")
-    shared = listed.select("key", short.alias("s")).groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
-    lists = salted_join(listed, shared, ["key"], "inner", ["node"], 8).distinct()
-    lists = lists.join(nodes.select("node", "n", "parities"), "node")
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    small = lists.filter(F.col("df") <= 2 * BLOCK).select("key", F.lit(2).cast("int").alias("side"), "node", "n", "parities")
-    large = lists.filter(F.col("df") > 2 * BLOCK).withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), "_k").cast("int"))
-    large = large.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    side = F.when(F.col("_b") == F.col("_c"), 2).otherwise((F.col("_b") < F.col("_c")).cast("int"))
-    large = large.select(F.xxhash64("key", F.least("_b", "_c"), F.greatest("_b", "_c")).alias("key"), side.cast("int").alias("side"), "node", "n", "parities")
-    lists = cut(small.unionByName(large))
+                    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                    every = np.concatenate(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(sketch.value[_bucket(every)] != 0), pa.array(owners, pa.binary()).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row])], ["key", "hot", "node", "n"])
+
+    # a node's postings stand together: Parquet keeps the node once
+    listed = table(docs.select("text").mapInArrow(postings, "key long, hot boolean, node binary, n long"))
+    lists = cut(_shared_lists(listed))
+    release(docs.sparkSession)
 
+    parities = nodes.select("node", "parities")
     two = F.row_number().over(Window.partitionBy("node").orderBy("key"))
-    dealt = lists.withColumn("_two", two).filter("_two <= 2").drop("_two").repartition("key").sortWithinPartitions("key", "node")
-    near = cut(dealt.mapInArrow(_candidates(False, similarity), "a binary, b binary").distinct())
+    dealt = lists.withColumn("_two", two).filter("_two <= 2").join(parities, "node")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / BLOCK))  # a long list's nodes meet within blocks only
+    dealt = dealt.select(F.when(F.col("df") > 2 * BLOCK, F.xxhash64("key", block)).otherwise(F.col("key")).alias("key"), F.lit(2).alias("side"), "node", "n", "parities")
+    near = cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(False, similarity), "a binary, b binary").distinct())
     links = _links(near, docs, sketch, shingle, similarity)
     labels = components(links)
-    again = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key").sortWithinPartitions("key", "node")
+    labelled = lists.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
+    again = _blocks(cut(labelled.join(mixed, "key"))).join(parities, "node").repartition("key").sortWithinPartitions("key", "label", "node")
     rest = cut(again.mapInArrow(_candidates(True, similarity), "a binary, b binary").distinct())
     return rows.drop("parities"), nodes, components(links.unionByName(_links(rest, docs, sketch, shingle, similarity)))
 
 
-def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, missed: float | None = MISSED) -> DataFrame:
     """doc_id, n_shingles, component_id, by shingles of so many words and the least similarity as a part of 100."""
-    rows, nodes, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), "text"), shingle, similarity)
+    rows, nodes, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), "text"), shingle, similarity, missed)
     found = labels.join(nodes.select("node", "least"), "node")
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
     found = found.join(least, "label").select("node", "component_id")
     # what a document doesn't find in its own row: nodes of a link and nodes of copies
-    known = nodes.filter("copies > 1").select("node", "least").join(found, "node", "full").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    joined = salted_join(rows.select("doc_id", "n", "node"), known, ["node"], "left", ["doc_id"])
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-#: Bits of the filter that picks the texts whose sets are wanted.
-FILTER = 1 << 26
-
-
-def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame:
-    """node, tokens of the active nodes. A bit set of fixed size leaves most others out before the join."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(FILTER // 8, np.uint8)
+    known = cut(nodes.filter("copies > 1").select("node", "least", "copies").join(found, "node", "full").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")))
+    rows = rows.select("doc_id", "n", "node")
+    # of a hundredth of all rows or more: 100 nodes at most, so they can be broadcast
+    hot_nodes = known.filter(F.col("copies") >= F.lit(max(rows.count() // 100, 1000))).select("node", F.col("component_id").alias("_hot"), F.lit(True).alias("_is"))
+    marked = rows.join(F.broadcast(hot_nodes), "node", "left")
+    direct = marked.filter("_is").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_hot", "doc_id").alias("component_id"))
+    rest = marked.filter("_is is null").select("doc_id", "n", "node").join(known.drop("copies"), "node", "left")
+    return direct.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+#: Bits of a filter by the rows it is for; beyond the most, which is 256 MB of broadcast, none is made.
+FILTER_BITS, LEAST_FILTER, MOST_FILTER = 16, 1 << 20, 1 << 31
+_FILTER_ROW = 1 << 16
+
+
+def bit_set(places: DataFrame) -> np.ndarray | None:
+    """A set of bits, one for each of the rows' longs (column `place`) by its size; sized from their number, which is
+    counted. None if they are too many."""
+    bits = LEAST_FILTER
+    many = places.count()
+    while bits < FILTER_BITS * many:
+        bits *= 2
+    if bits > MOST_FILTER:
+        return None
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            place = np.frombuffer(b"".join(x[:8] for x in batch.column("node").to_pylist()), np.uint64) % np.uint64(FILTER)
+            place = batch.column("place").to_numpy().view(np.uint64) % np.uint64(bits)
             np.bitwise_or.at(own, (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        rows = [i for i in range(0, len(own), ROW) if own[i : i + ROW].any()]
+        rows = [i for i in range(0, len(own), _FILTER_ROW) if own[i : i + _FILTER_ROW].any()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([pa.compress(own[i : i + ROW].tobytes(), "zstd", asbytes=True) for i in rows], pa.binary())], ["row", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([pa.compress(own[i : i + _FILTER_ROW].tobytes(), "zstd", asbytes=True) for i in rows], pa.binary())], ["row", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, b in zip(batch.column("row").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                more = np.frombuffer(pa.decompress(b, ROW, "zstd", asbytes=True), np.uint8)
+                more = np.frombuffer(pa.decompress(b, _FILTER_ROW, "zstd", asbytes=True), np.uint8)
                 sums[row] = sums[row] | more if row in sums else more
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in places.select("place").mapInArrow(some, "row long, bits binary").repartition("row").mapInArrow(merge, "row long, bits binary").collect():
+        out[r["row"] : r["row"] + _FILTER_ROW] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    wanted = np.zeros(FILTER // 8, np.uint8)
-    for r in active.mapInArrow(bits, "row int, bits binary").repartition("row").mapInArrow(merge, "row int, bits binary").collect():
-        wanted[r["row"] : r["row"] + ROW] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+def in_bits(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the places' bits are set."""
+    place = places.astype(np.uint64) % np.uint64(8 * len(bits))
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame:
+    """node, tokens of the active nodes. A set of bits leaves most others out before the join."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(x[:8] for x in batch.column("node").to_pylist()), np.int64))], ["place"])
+
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(active.mapInArrow(places, "place long")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for part in pieces(batch, "text"):
+                sets = shingle_sets(part.column("text"), shingle)
+                nodes = [_digest(s) if len(s) else b"" for s in sets]
+                wanted = np.array([len(s) > 0 for s in sets], bool)
+                if shared.value is not None:
+                    wanted &= in_bits(shared.value, np.frombuffer(b"".join(x[:8].ljust(8, b"\0") for x in nodes), np.uint64))
                 out = []
-                for s in shingle_sets(part.column("text"), shingle):
-                    if not len(s) or (node := _digest(s)) in seen:
-                        continue
-                    place = int.from_bytes(node[:8], "little") % FILTER
-                    if shared.value[place >> 3] >> (place & 7) & 1:
-                        seen.add(node)
-                        out.append((node, ordered(s, sketch.value).tobytes()))
+                for k in np.flatnonzero(wanted):
+                    if nodes[k] not in seen:
+                        seen.add(nodes[k])
+                        out.append((nodes[k], ordered(sets[k], sketch.value).tobytes()))
                 if len(seen) > 200_000:
                     seen.clear()
                 if out:
@@ -492,20 +574,36 @@ def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame
     return docs.select("text").mapInArrow(build, "node binary, tokens binary").join(active, "node").dropDuplicates(["node"])
 
 
-def distinct_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: int = NEAR_SIMILARITY) -> DataFrame:
+def distinct_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: int = NEAR_SIMILARITY, missed: float | None = MISSED) -> DataFrame:
     """A row of each component, with its own columns: of the smallest doc_id (null last), then of the least digest of
     its text, whatever doc_ids other components have. A row without words is its own component, but rows of one
-    doc_id (that isn't null) and text are copies."""
-    keys = {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_key": F.unhex(F.md5("text"))}
-    rows, _, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), keys["_key"].alias("key"), "text"), shingle, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key"))).alias("first")
-    heads = rows.filter("node is not null").groupBy("node").agg(first).join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select("first.*")
-    heads, rows, labels = cut(heads), None, None
-    release(docs.sparkSession)  # the texts are shuffled next
-    keyed, worded = docs.withColumns(keys), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    linked = keyed.filter(worded).join(heads, [*keys], "left_semi").dropDuplicates([*keys])
-    empty = keyed.filter(~worded).withColumn("_row", F.when(F.col("_null"), F.monotonically_increasing_id())).dropDuplicates([*keys, "_row"])
-    return linked.select(*docs.columns).unionByName(empty.select(*docs.columns))
+    doc_id (that isn't null) and text are copies. Texts are shuffled of those documents alone that may go."""
+    null, number, digest, place, row = names = fresh(docs, "_null", "_id", "_key", "_place", "_row")
+    keys = {null: F.col("doc_id").isNull(), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), digest: F.unhex(F.md5("text"))}
+    rows, _, labels = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), keys[digest].alias("key"), "text"), shingle, similarity, missed)
+    worded_rows = rows.filter("node is not null").select("node", F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(-1)).alias(number), F.col("key").alias(digest))
+    own = names[:3]
+    kept = worded_rows.groupBy("node").agg(F.min(F.struct(*own)).alias("first")).join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select("first.*")
+    counted = worded_rows.groupBy(*own).agg(F.count("*").alias("n")).join(kept.withColumn("head", F.lit(True)), own, "left")
+    counted = cut(counted.select(*own, "n", F.coalesce("head", F.lit(False)).alias("head")))
+    rows = labels = kept = worded_rows = None
+    release(docs.sparkSession)
+    heads = counted.filter("head").select(*own)
+    # rows of a key that stays and that one row has: most
+    bits = bit_set(counted.filter("n > 1 or not head").select(F.xxhash64(*own).alias("place")))
+    keyed, worded = docs.withColumns(keys).withColumn(place, F.xxhash64(*own)), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    held = keyed.filter(worded)
+    empty = keyed.filter(~worded).withColumn(row, F.when(F.col(null), F.monotonically_increasing_id())).dropDuplicates([*own, row])
+    if bits is None:
+        return held.join(heads, own, "left_semi").dropDuplicates(own).select(*docs.columns).unionByName(empty.select(*docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @arrow_udf("boolean")
+    def may_go(places: pa.Array) -> pa.Array:
+        return pa.array(in_bits(shared.value, places.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    sure, doubtful = held.filter(~may_go(place)), held.filter(may_go(place)).join(heads, own, "left_semi").dropDuplicates(own)
+    return sure.select(*docs.columns).unionByName(doubtful.select(*docs.columns)).unionByName(empty.select(*docs.columns))
 
 
 def op10_ngram_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
