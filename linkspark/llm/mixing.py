@@ -7,10 +7,11 @@ A target of b whole sizes and a rest takes every document b times, and once more
 rest: from the number of documents of each exact size, every size gives its share rounded down, then sizes give one
 more in order of what rounding cost them, and what is still missing is filled by a bounded-knapsack dynamic
 programme over the documents that are left. How many documents of a size are taken is then exact; which, the hashes
-of their ids decide.
+of their ids and texts decide.
 
 Defined results: a null or text without words has size 0 and nothing is taken of it. Documents with a null doc_id and
-repeated rows count each. With no words at all, all targets are 0. An empty table gives an empty result.
+repeated rows count each. With no words at all, all targets are 0. An empty table gives an empty result. Other columns
+stay as they are in ``mixed``, whatever their names, and don't appear in ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, cut, fresh, read
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -123,8 +124,8 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
 def _mix(docs: DataFrame, seed: int, text: Column) -> DataFrame:
     """doc_id, _key, _text, size, source_size, target, _copies, a row for each document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source").cast("string")).alias("_key"), size.alias("size"), text.alias("_text"))
-    rows = cut(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))).withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source").cast("string")).alias("_key"), size.alias("size"), text.alias("_text"), F.xxhash64("text").alias("_words"))
+    rows = cut(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "_words"))).drop("_words").withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
     groups = cut(rows.groupBy("_key", "size", "_salt").agg(F.count("*").alias("n")))
     lengths = groups.groupBy("_key", "size").agg(F.sum("n").alias("n"))
     sources = lengths.groupBy("_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -146,13 +147,15 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents as often as the mix takes them. Rows of one doc_id (or none), source and text take together what
     they take; as such rows differ by a copy at most, so many of them take one more."""
-    text, same = F.unhex(F.md5("text")), ["_null", "_id", "_key", "_text"]
-    null, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    taken = _mix(docs, seed, text).filter("size > 0").groupBy(null.alias("_null"), number.alias("_id"), "_key", "_text")
-    taken = taken.agg(F.min("_copies").alias("_base"), (F.sum("_copies") - F.min("_copies") * F.count("*")).alias("_more")).filter("_base + _more > 0")
-    rows = docs.withColumns({"_null": null, "_id": number, "_key": _key(F.col("source").cast("string")), "_text": text}).join(taken, same)
-    copies = F.col("_base") + (F.row_number().over(Window.partitionBy(*same).orderBy("_id")) <= F.col("_more")).cast("int")
-    return rows.withColumn("_copies", copies.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    names = null, number, source, digest, base, more, copies, copy = fresh(docs, "_null", "_id", "_source", "_digest", "_base", "_more", "_copies", "_copy")
+    same = list(names[:4])
+    keys = {null: F.col("doc_id").isNull(), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), source: _key(F.col("source").cast("string")), digest: F.unhex(F.md5("text"))}
+    mix = _mix(docs, seed, keys[digest]).filter("size > 0")
+    taken = mix.groupBy(keys[null].alias(null), keys[number].alias(number), F.col("_key").alias(source), F.col("_text").alias(digest))
+    taken = taken.agg(F.min("_copies").alias(base), (F.sum("_copies") - F.min("_copies") * F.count("*")).alias(more)).filter(F.col(base) + F.col(more) > 0)
+    rows = docs.withColumns(keys).join(taken, same)
+    times = F.col(base) + (F.row_number().over(Window.partitionBy(*same).orderBy(number)) <= F.col(more)).cast("int")
+    return rows.withColumn(copies, times.cast("int")).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(*names)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
