@@ -4,12 +4,17 @@ A list has entries (value, action, at): from ``at`` on, `add` puts a value on th
 entry's state holds up to the next of its value, so that the adds become validity intervals, disjoint for a value. A
 value is a host, which also covers its subdomains, or a host and a path that ends in a slash, which covers the URLs
 under it. A capture has one key for each such value that would cover it; the as-of join finds, for every key, the
-entry in force when the capture was fetched. Interval rows are repeated for a number of salts, so that a host with a
-third of all captures is dealt to many tasks.
+entry in force when the capture was fetched.
+
+Of the list, the values that are a key of some capture count alone. They are found from the captures' distinct keys,
+so that a bare top-level domain, which is a key of most captures, is a row a task there; then they are counted, and
+broadcast if they are few, which leaves the captures where they are. Else the keys are joined by shuffle, the list
+repeated for a number of salts, so that a host with a third of all captures is dealt to many tasks. What was matched
+comes back to the captures in the same two ways.
 
 Defined results: a null or hostless URL, and a null fetch time, match nothing and aren't blocked. Of entries of one
-value and time, `remove` holds. Repeated captures are one row each. An empty list blocks nothing; empty captures
-give an empty result.
+value and time, `remove` holds; null values, times and actions are no entries. Repeated captures are one row each. An
+empty list blocks nothing; empty captures give an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -17,7 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, salted_join
+from .common import cut, read, salted_join
+
+#: So many rows (a value's intervals, a URL's match) at most are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: A value with more intervals than this isn't broadcast either.
+BROADCAST_SPANS = 1000
 
 
 def host(url: Column) -> Column:
@@ -41,19 +51,28 @@ def keys(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """value, valid_from, valid_to (null: still on the list)."""
     order = Window.partitionBy("value").orderBy("at")
-    states = entries.groupBy("value", "at").agg(F.max("action").alias("action"))  # 'remove' is the greater
+    states = entries.filter("value is not null and at is not null and action is not null").groupBy("value", "at").agg(F.max("action").alias("action"))  # 'remove' is the greater
     return states.withColumn("valid_to", F.lead("at").over(order)).filter("action = 'add'").select("value", F.col("at").alias("valid_from"), "valid_to")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched, n_active, matched (the longest active value, the least of equally long), blocked."""
     rows = captures.select("page_id", "url", "fetched")
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("value", F.explode_outer(keys(F.col("url"))))
-    found = salted_join(keyed, _listed(entries), ["value"], "left", ["_row"])
+    whole = F.col("url").isNotNull() & F.col("fetched").isNotNull()
+    keyed = rows.filter(whole).select("url", "fetched", F.explode(keys(F.col("url"))).alias("value"))
+    listed = cut(_listed(entries).join(keyed.select("value").distinct(), "value", "left_semi"))
+    n, most = listed.agg(F.count("*"), F.coalesce(F.max(F.size("_spans")), F.lit(0))).first()
+    small = n <= BROADCAST_ROWS and most <= BROADCAST_SPANS
+    found = keyed.join(F.broadcast(listed), "value") if small else salted_join(keyed, listed, ["value"], "inner", ["url", "fetched"])
     active = F.exists("_spans", lambda s: (s["valid_from"] <= F.col("fetched")) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"])))
-    hit = F.when(F.coalesce(active, F.lit(False)), F.struct((-F.length("value")).alias("l"), F.col("value").alias("v")))
-    per_row = found.groupBy("_row", "page_id", "url", "fetched").agg(F.count(hit).alias("n_active"), F.min(hit).alias("_hit"))
-    return per_row.select("page_id", "url", "fetched", "n_active", F.col("_hit.v").alias("matched"), (F.col("n_active") > 0).alias("blocked"))
+    hits = found.filter(active).select("url", "fetched", "value").distinct()
+    best = F.min(F.struct((-F.length("value")).alias("l"), F.col("value").alias("v")))
+    matches = cut(hits.groupBy("url", "fetched").agg(F.count("*").alias("n"), best.alias("_best")).select("url", "fetched", "n", F.col("_best.v").alias("matched")))
+    few = matches.count() <= BROADCAST_ROWS
+    joined = rows.filter(whole).join(F.broadcast(matches) if few else matches, ["url", "fetched"], "left")
+    out = joined.unionByName(rows.filter(~whole), allowMissingColumns=True)
+    n_active = F.coalesce("n", F.lit(0)).cast("long")
+    return out.select("page_id", "url", "fetched", n_active.alias("n_active"), "matched", (n_active > 0).alias("blocked"))
 
 
 def _listed(entries: DataFrame) -> DataFrame:
