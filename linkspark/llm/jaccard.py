@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD, cut, fresh, mix, pieces, read, release, salted_join, span_hashes, table, utf8, words
+from .common import WORD, bit_set, cut, fresh, in_bits, mix, pieces, read, release, salted_join, span_hashes, table, utf8, words
 
 #: op10's words of a shingle and least similarity, as a part of 100.
 SHINGLE, SIMILARITY = 3, 90
@@ -497,51 +497,6 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     return direct.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-#: Bits of a filter by the rows it is for; beyond the most, which is 256 MB of broadcast, none is made.
-FILTER_BITS, LEAST_FILTER, MOST_FILTER = 16, 1 << 20, 1 << 31
-_FILTER_ROW = 1 << 16
-
-
-def bit_set(places: DataFrame) -> np.ndarray | None:
-    """A set of bits, one for each of the rows' longs (column `place`) by its size; sized from their number, which is
-    counted. None if they are too many."""
-    bits = LEAST_FILTER
-    many = places.count()
-    while bits < FILTER_BITS * many:
-        bits *= 2
-    if bits > MOST_FILTER:
-        return None
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            place = batch.column("place").to_numpy().view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(own, (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        rows = [i for i in range(0, len(own), _FILTER_ROW) if own[i : i + _FILTER_ROW].any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([pa.compress(own[i : i + _FILTER_ROW].tobytes(), "zstd", asbytes=True) for i in rows], pa.binary())], ["row", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row, b in zip(batch.column("row").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                more = np.frombuffer(pa.decompress(b, _FILTER_ROW, "zstd", asbytes=True), np.uint8)
-                sums[row] = sums[row] | more if row in sums else more
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in places.select("place").mapInArrow(some, "row long, bits binary").repartition("row").mapInArrow(merge, "row long, bits binary").collect():
-        out[r["row"] : r["row"] + _FILTER_ROW] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def in_bits(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which of the places' bits are set."""
-    place = places.astype(np.uint64) % np.uint64(8 * len(bits))
-    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame:
     """node, tokens of the active nodes. A set of bits leaves most others out before the join."""
     # a node's first eight bytes, by built-in functions: two Python steps in one stage would need twice the workers
