@@ -1,8 +1,10 @@
 """Token-id shards with a shared zstandard dictionary (op9).
 
 Documents are encoded, their ids (and the end id) serialized as little-endian unsigned 32-bit integers and each
-document compressed alone with one dictionary, trained on the serialized ids of a bounded sample. Documents are dealt
-by ranges of doc_id, sorted, and packed into shard images of about ``IMAGE`` bytes:
+document compressed alone with one dictionary, trained on the serialized ids of a bounded sample (too few ids to train
+on are the dictionary themselves). The compressed documents are written once, then dealt by ranges of doc_id (and of
+what else sorts them, so that one doc_id, or none, may have any number of documents), sorted, and packed into shard
+images of about ``IMAGE`` bytes:
 
     magic b"LSTK0001" | sha256 of the dictionary, 32 bytes | documents n, uint32
     n x (null flag uint8) | n x (doc_id int64) | n x (ids uint32) | (n + 1) x (frame offset uint64) | frames
@@ -14,7 +16,8 @@ A text is cut at spaces that follow a character other than white space, where a
 always begins, and each distinct piece is encoded once for a while (a bounded table of pieces).
 
 Defined results: a null text is an empty one (the end id alone). Null doc_ids come last. Documents of one doc_id
-stand beside each other, ordered by their ids. An empty table gives an empty result.
+stand beside each other, ordered by the number of their ids and its checksum. What the tokenizer takes for a special
+token in a text is one, as the library has it. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +47,12 @@ SPACE = "\u0120"
 END_ID = 0
 MAGIC = b"LSTK0001"
 IMAGE = 4 << 20
-#: The dictionary's size and the documents that it is trained on, about.
-DICTIONARY, SAMPLE = 64 << 10, 1000
-#: Documents of a shard, about, and the most shards.
-SHARD, MAX_SHARDS = 20_000, 10_000
-MAX_PIECES = 600_000
+#: The dictionary's size, the documents that it is trained on, about, and the bytes of a long one's that are.
+DICTIONARY, SAMPLE, SAMPLED = 64 << 10, 1000, 64 << 10
+#: Documents of a shard, about; shards whose sizes are added up at once.
+SHARD, GROUP = 20_000, 1024
+#: Bytes of pieces that are kept, about.
+MAX_KEPT = 64 << 20
 #: Characters that a word is encoded without, if a letter below LETTERS (all of which any Unicode version has) is before.
 STOPS, LETTERS = {".", ","}, "\u0250"
 
@@ -57,9 +62,7 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -71,6 +74,7 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.known: dict[str, bytes | None] = {}  # ids of a space and the piece; None: another piece must follow
+        self.kept = 0  # bytes of these, about
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,8 +123,9 @@ class Encoder:
         at -= at[0]
         distinct, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         found = self.apart([x for x in distinct if x not in self.known])
-        if len(self.known) < MAX_PIECES:  # the frequent pieces come early; later ones are kept for these texts alone
+        if self.kept < MAX_KEPT:  # the frequent pieces come early; later ones are kept for these texts alone
             self.known.update(found)
+            self.kept += sum(150 + len(x) + len(ids or b"") for x, ids in found.items())
             find = self.known.__getitem__
         else:
             find = ChainMap(found, self.known).__getitem__
@@ -208,20 +213,24 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
-    chosen = docs.filter(F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
+    lot = F.xxhash64(F.lit("dictionary"), "doc_id", "text")
+    chosen = docs.filter(F.pmod(lot, F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))).withColumn("_lot", lot).dropDuplicates(["_lot"]).select("doc_id", "text")
     end = struct.pack("<I", END_ID)
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text"):
                 yield part, [x + end for x in encoder.encode(part.column("text"))]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids in serialize(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 64 << 10] for x in ids], pa.binary())], ["ids"])  # for training alone
+            # of long ones a window from anywhere, for training alone
+            begins = [4 * (zlib.crc32(x) % ((len(x) - SAMPLED) // 4)) if len(x) > SAMPLED + 4 else 0 for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([x[a : a + SAMPLED] for a, x in zip(begins, ids, strict=True)], pa.binary())], ["ids"])
 
-    dictionary = train(sorted(bytes(r["ids"]) for r in chosen.mapInArrow(sampled, "ids binary").collect()))
+    samples = sorted(bytes(r["ids"]) for r in chosen.mapInArrow(sampled, "ids binary").limit(4 * SAMPLE).collect())
+    dictionary = train(samples) or b"".join(samples)[-DICTIONARY:]
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared, sha = spark.sparkContext.broadcast(dictionary), hashlib.sha256(dictionary).digest()
 
@@ -233,29 +242,28 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
                 ["doc_id", "n", "crc", "frame"],
             )
 
-    shards = max(1, min(MAX_SHARDS, -(-n // SHARD)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
-    bounds = sorted(set(bounds or []))
-    # the shard's number is that of the bounds at or under doc_id; the bounds are MAX_SHARDS numbers at most
-    shard = F.coalesce(_rank(bounds, F.col("doc_id")), F.lit(len(bounds)))
-    frames = docs.mapInArrow(compress, "doc_id long, n long, crc long, frame binary").withColumn("shard", shard)
-    sorted_frames = frames.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "n", "crc")
+    # written, so that bounds are sampled from what is sorted; the place parts equal documents
+    docs.mapInArrow(compress, "doc_id long, n long, crc long, frame binary").withColumn("place", F.monotonically_increasing_id()).write.option("compression", "none").parquet(f"{path}/frames")
+    frames = spark.read.parquet(f"{path}/frames")
+    order = [F.col("doc_id").asc_nulls_last(), "n", "crc", "place"]
+    sorted_frames = frames.repartitionByRange(max(1, -(-n // SHARD)), *order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
 
     def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, held, size, block, now = [], [], [], 0, 0, None
+        task = TaskContext.get()
+        shard = task.partitionId() if task else 0
+        ids, counts, held, size, block = [], [], [], 0, 0
 
         def image() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([block], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([pack(ids, counts, held, sha)], pa.binary())], ["shard", "block", "n_tokens", "image"]
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([pack(ids, counts, held, sha)], pa.binary())], ["shard", "block", "n_tokens", "image"]
             )
 
         for batch in batches:
-            for number, doc_id, n_ids, frame in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "frame")), strict=True):
-                if held and (number != now or size >= IMAGE):
+            for doc_id, n_ids, frame in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "frame")), strict=True):
+                if size >= IMAGE:
                     yield image()
-                    block = block + 1 if number == now else 0
+                    block += 1
                     ids, counts, held, size = [], [], [], 0
-                now = number
                 ids.append(doc_id)
                 counts.append(n_ids)
                 held.append(frame)
@@ -266,19 +274,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     sorted_frames.mapInArrow(pack_up, "shard int, block long, n_tokens long, image binary").write.option("compression", "none").parquet(f"{path}/images")
 
 
-def _rank(bounds: list[int], value):
-    """The number of bounds at or under ``value``; null for null."""
-    return F.when(value.isNotNull(), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value))) if len(bounds) <= 64 else _bisect(bounds, value, 0)
-
-
-def _bisect(bounds: list[int], value, first: int):
-    """The number of bounds at or under ``value`` as a tree of comparisons."""
-    if not bounds:
-        return F.when(value.isNotNull(), F.lit(first))
-    half = len(bounds) // 2
-    return F.when(value < bounds[half], _bisect(bounds[:half], value, first)).otherwise(_bisect(bounds[half + 1 :], value, first + half + 1))
-
-
 def read_shards(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if wanted, the ids, from the files at ``path``."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()[0])
@@ -300,15 +295,17 @@ def read_shards(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     schema = "shard int, block long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
     names = [x.split()[0] for x in schema.split(", ")]
     blocks = images.select("shard", "block", F.col("n_tokens").alias("total"))
-    # one row a shard, MAX_SHARDS at most
-    totals = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("total").alias("n")).collect()}
+    # a block starts after the groups of shards, the shards of its group and the blocks of its shard before it
+    sums = blocks.groupBy("shard").agg(F.sum("total").alias("n")).withColumn("group", F.floor(F.col("shard") / GROUP))
     before, rows = 0, []
-    for k in sorted(totals):
-        rows.append((k, before))
-        before += totals[k]
-    begins = spark.createDataFrame(rows, "shard int, shard_start long")
+    for r in sums.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect():  # a row for GROUP shards
+        rows.append((r["group"], before))
+        before += r["n"]
+    groups = spark.createDataFrame(rows, "group long, group_start long")
+    running = F.sum("n").over(Window.partitionBy("group").orderBy("shard")) - F.col("n")
+    begins = sums.withColumn("within", running).join(F.broadcast(groups), "group").select("shard", (F.col("group_start") + F.col("within")).alias("shard_start"))
     within = Window.partitionBy("shard").orderBy("block")
-    starts = blocks.withColumn("block_start", F.sum("total").over(within) - F.col("total")).join(F.broadcast(begins), "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("_start"))
+    starts = blocks.withColumn("block_start", F.sum("total").over(within) - F.col("total")).join(begins, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("_start"))
     found = images.select("shard", "block", "image").mapInArrow(run, schema)
     return found.join(starts, ["shard", "block"]).select("doc_id", (F.col("_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * ids))
 
