@@ -70,7 +70,7 @@ def canonical(text: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def region_maps() -> dict[str, dict[str, dict[str, str]]]:
-    return {country: {kind: {canonical(k): v for k, v in keys.items()} for kind, keys in kinds.items()} for country, kinds in rules.gazetteer().items()}
+    return {country: {kind: {canonical(k): v for k, v in keys.items()} for kind, keys in kinds.items()} for country, kinds in rules.GAZETTEER.items()}
 
 
 def _regions(folded_segments: Column, mapping: dict[str, str]) -> Column:

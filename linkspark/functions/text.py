@@ -50,18 +50,17 @@ def norm(c: Column) -> Column:
 
 def punctuation_stage(c: Column) -> Column:
     """In-word apostrophes dropped, dotted acronyms joined, & a token of its own, other punctuation to spaces."""
-    for _ in range(2):
-        c = F.regexp_replace(c, r"(\p{L})'(\p{L})", "$1$2")
-    for k in (6, 5, 4, 3, 2):
-        c = F.regexp_replace(c, r"(?U)\b" + r"\.".join([r"(\p{L})"] * k) + r"\b\.?", "".join(f"${i + 1}" for i in range(k)))
-    c = F.replace(c, F.lit("&"), F.lit(" & "))
-    return whitespace_stage(F.regexp_replace(c, r"(?U)[^\p{L}\p{M}\p{N}\s&]", " "))
+    c = F.regexp_replace(F.regexp_replace(c, *rules.IN_WORD_APOSTROPHE), *rules.IN_WORD_APOSTROPHE)  # twice: matches overlap
+    for letters in range(rules.LONGEST_ACRONYM, 1, -1):
+        dotted, joined = r"\.".join([r"(\p{L})"] * letters), "".join(f"${i}" for i in range(1, letters + 1))
+        c = F.regexp_replace(c, rf"(?U)\b{dotted}\b\.?", joined)
+    return whitespace_stage(F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" & ")), rules.NOT_KEPT, " "))
 
 
 def simple_norm(c: Column) -> Column:
     """The profiling normaliser: NFKC, lower case, quotes dropped, punctuation to spaces, trimmed; '' stays ''."""
-    c = F.regexp_replace(F.lower(nfkc(c)), "['’‘`´]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\p{L}\p{M}\p{N}\s&]", " "), _WHITE, " "))
+    c = F.regexp_replace(F.lower(nfkc(c)), rules.SIMPLE_QUOTES, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, rules.NOT_KEPT, " "), _WHITE, " "))
 
 
 def compact(c: Column) -> Column:
@@ -69,9 +68,9 @@ def compact(c: Column) -> Column:
 
 
 _TLD = "|".join(t.replace(".", r"\.") for t in sorted(rules.TLDS, key=len, reverse=True))
-_LABELS = r"(?:[\p{L}\p{N}][\p{L}\p{N}-]*\.)+"
-DOMAIN = rf"(?U)(?:https?://)?(?:www\.)?({_LABELS}(?:{_TLD}))\b"
-DOMAIN_ONLY = rf"(?U)^(?:https?://)?(?:www\.)?{_LABELS}(?:{_TLD})/?\z"
+_NAME = rf"{rules.DOMAIN_LABELS}(?:{_TLD})"
+DOMAIN = rf"(?U){rules.DOMAIN_PREFIX}({_NAME})\b"
+DOMAIN_ONLY = rf"(?U)^{rules.DOMAIN_PREFIX}{_NAME}/?\z"
 
 
 def domain(c: Column) -> Column:
@@ -96,10 +95,11 @@ def postal_code(c: Column, country: Column) -> Column:
 
 
 def script_label(c: Column) -> Column:
-    """Latin, a script, Latin+script, or None if there are no letters."""
-    other = F.coalesce(*(F.when(c.rlike(rf"\p{{Is{s}}}"), F.lit(s)) for s in rules.SCRIPTS), F.when(c.rlike(rules.NON_LATIN_LETTER), F.lit("Other")))
-    latin = c.rlike(r"\p{IsLatin}")
-    return F.when(other.isNull() & latin, "Latin").when(other.isNotNull() & latin, F.concat(F.lit("Latin+"), other)).when(other.isNotNull(), other).otherwise("None")
+    """The scripts of a text's letters: Latin, the first other one by precedence, or both; None without letters."""
+    kinds = [*((rf"\p{{Is{s}}}", s) for s in rules.SCRIPTS), (rules.NON_LATIN_LETTER, "Other")]
+    other = F.coalesce(*(F.when(c.rlike(pattern), F.lit(name)) for pattern, name in kinds))
+    found = F.concat_ws("+", F.when(c.rlike(r"\p{IsLatin}"), F.lit("Latin")), other)
+    return F.when(found == "", "None").otherwise(found)
 
 
 def is_upper(c: Column) -> Column:

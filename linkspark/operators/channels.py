@@ -6,27 +6,30 @@ a cap are left out by the channels' definition, before the join. Scores are roun
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import arrays as A
 from ..functions import text as T
 from ..functions.unicode import fold
 
 BLOCK = "country_clean"
-CAPS = {"tight": {"D": 300, "F": 20, "G": 200}, "medium": {"D": 2000, "F": 100, "G": 1000}, "loose": {"D": 10000, "F": 500, "G": 5000}}
-KS = (5, 10, 20, 30)
-RECOMMENDED = {"channels": {"C": 1, "E'": 15, "F": 5, "G": 15}, "caps": "medium"}
-ABLATIONS = {
-    "all": {"A": 1, "B": 1, "C": 1, "D": 10, "E'": 10, "F": 10, "G": 10},
-    **{f"- {x}": {k: v for k, v in {"A": 1, "B": 1, "C": 1, "D": 10, "E'": 10, "F": 10, "G": 10}.items() if k != x} for x in ("A", "B", "C", "D", "E'", "F", "G")},
-    "A,B,C + E'20 G10 D5 F5": {"A": 1, "B": 1, "C": 1, "D": 5, "E'": 20, "F": 5, "G": 10},
-    "A,B,C + E'15 G15 D5 F5": {"A": 1, "B": 1, "C": 1, "D": 5, "E'": 15, "F": 5, "G": 15},
-    "A,B,C + E'20 G20 D5 F5": {"A": 1, "B": 1, "C": 1, "D": 5, "E'": 20, "F": 5, "G": 20},
-    "B,C + E'15 G15 F5": {"B": 1, "C": 1, "E'": 15, "F": 5, "G": 15},
-}
+#: Records of a block and queries of a bundle, about, that meet in one step of the trigram channels.
+ROWS, BUNDLE = 2048, 1024
+_ALL = {"A": 1, "B": 1, "C": 1, "D": 10, "E'": 10, "F": 10, "G": 10}
+#: All channels, all but one, and the mixes.
+ABLATIONS = {"all": _ALL, **{f"- {x}": {k: n for k, n in _ALL.items() if k != x} for x in _ALL}, **rules.MIXES}
+
+
+def folded(df: DataFrame, column: str) -> Column:
+    """A column without diacritics: as stored, if it is."""
+    return F.col(f"{column}_folded") if f"{column}_folded" in df.columns else fold(F.col(column))
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -49,12 +52,12 @@ def channel_a(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def channel_b(index: DataFrame, queries: DataFrame) -> DataFrame:
-    return exact(index, queries, [fold(F.col("name_base"))], [fold(F.col("name_base"))])
+    return exact(index, queries, [folded(index, "name_base")], [folded(queries, "name_base")])
 
 
 def channel_c(index: DataFrame, queries: DataFrame) -> DataFrame:
-    base, clean = T.compact(fold(F.col("name_base"))), T.compact(fold(F.col("name_clean")))
-    return exact(index, queries, [base, clean], [T.domain_stem(F.col("name_domain")), base])
+    spelt = [T.compact(folded(index, "name_base")), T.compact(folded(index, "name_clean"))]
+    return exact(index, queries, spelt, [T.domain_stem(F.col("name_domain")), T.compact(folded(queries, "name_base"))])
 
 
 def overlap(index: DataFrame, queries: DataFrame, keys, cap: int, k: int) -> DataFrame:
@@ -74,7 +77,7 @@ def _in_region(values: Column) -> Column:
 
 
 def channel_d(index: DataFrame, queries: DataFrame, cap: int = 1000, k: int = 10) -> DataFrame:
-    return overlap(index, queries, lambda _: A.tokens(fold(F.col("name_clean"))), cap, k)
+    return overlap(index, queries, lambda df: A.tokens(folded(df, "name_clean")), cap, k)
 
 
 def channel_f(index: DataFrame, queries: DataFrame, cap: int = 50, k: int = 10) -> DataFrame:
@@ -82,44 +85,88 @@ def channel_f(index: DataFrame, queries: DataFrame, cap: int = 50, k: int = 10)
 
 
 def channel_g(index: DataFrame, queries: DataFrame, cap: int = 500, k: int = 10) -> DataFrame:
-    return overlap(index, queries, lambda _: _in_region(A.tokens(fold(F.col("address_clean")))), cap, k)
+    return overlap(index, queries, lambda df: _in_region(A.tokens(folded(df, "address_clean"))), cap, k)
 
 
-def _counts(df: DataFrame, name: str, text: Column) -> DataFrame:
-    df = df.select(BLOCK, "address_region", F.col("entity_id").alias(name), text.alias("_text"))  # a Python UDF can't stand in a lambda
-    return df.filter("_text is not null").select(BLOCK, "address_region", name, F.explode(A.trigrams(F.col("_text"))).alias("tri")).groupBy(BLOCK, "address_region", name, "tri").agg(F.count("*").alias("tf"))
+def _counts(df: DataFrame, text: Column) -> DataFrame:
+    df = df.select(BLOCK, "address_region", F.col("entity_id").alias("id"), text.alias("_text"))  # a Python UDF can't stand in a lambda
+    return df.filter("_text is not null").select(BLOCK, "address_region", "id", F.explode(A.trigrams(F.col("_text"))).alias("tri")).groupBy(BLOCK, "address_region", "id", "tri").agg(F.count("*").alias("tf"))
 
 
-def _weights(counts: DataFrame, name: str, idf: DataFrame) -> DataFrame:
-    w = counts.join(idf, [BLOCK, "tri"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(name)))).select(BLOCK, "address_region", name, "tri", "w")
+def _vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """A row for each record: its trigrams and their weights, of length 1."""
+    weight = (1 + F.log("tf")) * F.col("idf")
+    listed = counts.join(idf, [BLOCK, "tri"]).groupBy(BLOCK, "address_region", "id").agg(F.array_sort(F.collect_list(F.struct("tri", weight.alias("w")))).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return listed.select(BLOCK, "address_region", "id", F.col("v.tri").alias("tris"), F.transform("v", lambda x: x["w"] / length).alias("ws"))
 
 
 def _trigram_sides(index: DataFrame, queries: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    counts = _counts(index, "s1", fold(F.col("name_clean")))
+    counts = _counts(index, folded(index, "name_clean"))
     sizes = index.groupBy(BLOCK).agg(F.count("*").alias("n"))
-    df = counts.groupBy(BLOCK, "tri").agg(F.count("*").alias("df")).join(F.broadcast(sizes), BLOCK).filter(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    df = counts.groupBy(BLOCK, "tri").agg(F.count("*").alias("df")).join(F.broadcast(sizes), BLOCK).filter(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))  # a row a country
     idf = df.select(BLOCK, "tri", (F.log(1 + F.col("n")) - F.log(1 + F.col("df")) + 1).alias("idf"))
-    return _weights(counts, "s1", idf), _weights(_counts(queries, "q", F.coalesce("name_latin", fold(F.col("name_clean")))), "q", idf)
-
-
-def _products(queries: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
-    right = index.select(*on, "s1", F.col("w").alias("v"))
-    return queries.join(right, on).groupBy("q", "s1").agg(F.sum(F.col("w") * F.col("v")).alias("score")).filter("score > 0")
+    return _vectors(counts, idf), _vectors(_counts(queries, F.coalesce("name_latin", folded(queries, "name_clean"))), idf)
+
+
+def _dealt(vectors: DataFrame, by: list[str], size: int, number: str, rows: str) -> DataFrame:
+    """Rows of about ``size`` vectors of one group of ``by``, nulls being one too. There are few groups."""
+    groups = vectors.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("_k")).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    dealt = vectors.join(F.broadcast(groups), same).withColumn(number, F.pmod(F.xxhash64("id"), "_k"))
+    return dealt.groupBy(*by, number).agg(F.collect_list(F.struct("id", "tris", "ws")).alias(rows))
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best products of each query of a bundle with the records of a block: a trigram's postings are added up."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            records, queries = batch.column("records")[r].values, batch.column("queries")[r].values
+            ids = np.array(records.field("id").to_pylist(), object)
+            sizes = np.diff(records.field("tris").offsets.to_numpy())
+            known, codes = np.unique(np.array(records.field("tris").flatten().to_pylist(), object), return_inverse=True)
+            order = np.argsort(codes, kind="stable")
+            owner, weight = np.repeat(np.arange(len(ids)), sizes)[order], records.field("ws").flatten().to_numpy()[order]
+            ends = np.searchsorted(codes[order], np.arange(len(known) + 1))
+            place = {t: i for i, t in enumerate(known)}
+            found: list[tuple[str, str, float]] = []
+            tris, ws, at = queries.field("tris").flatten().to_pylist(), queries.field("ws").flatten().to_numpy(), queries.field("tris").offsets.to_numpy()
+            for j, q in enumerate(queries.field("id").to_pylist()):
+                own = [(place[t], w) for t, w in zip(tris[at[j] - at[0] : at[j + 1] - at[0]], ws[at[j] - at[0] : at[j + 1] - at[0]], strict=True) if t in place]
+                if not own:
+                    continue
+                rows = np.concatenate([owner[ends[c] : ends[c + 1]] for c, _ in own])
+                scores = np.round(np.bincount(rows, np.concatenate([w * weight[ends[c] : ends[c + 1]] for c, w in own]), len(ids)), 9)
+                least = np.partition(scores, -k)[-k] if len(scores) > k else 0
+                some = np.flatnonzero((scores >= least) & (scores > 0))  # with the ties of the kth
+                found += [(q, s, -n) for n, s in sorted((-scores[i], ids[i]) for i in some)[:k]]
+            if found:
+                a, b, c = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], ["q", "s1", "score"])
+
+
+def _nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The k best of each query among the records of its country, and of its ``target`` region where it has one. Blocks
+    and bundles meet as wholes, so that no pair of records is shuffled but each block's k best."""
+    blocks = _dealt(index, [BLOCK, "address_region"], ROWS, "block", "records")
+    bundles = _dealt(queries, [BLOCK, "target"], BUNDLE, "bundle", "queries")
+    near = bundles.filter("target is not null").join(blocks.withColumnRenamed("address_region", "target"), [BLOCK, "target"])
+    wide = bundles.filter("target is null").drop("target").join(blocks.drop("address_region"), BLOCK)
+    met = near.select("queries", "records").unionByName(wide.select("queries", "records"))
+    return ranked(met.mapInArrow(partial(_best, k=k), "q string, s1 string, score double"), k)
 
 
 def channel_e(index: DataFrame, queries: DataFrame, share: float = 0.02, k: int = 10) -> DataFrame:
     """Cosine of trigram TF-IDF vectors over the country's vocabulary."""
     s1, q = _trigram_sides(index, queries, share)
-    return ranked(_products(q, s1, [BLOCK, "tri"]), k)
+    return _nearest(q.withColumn("target", F.lit(None).cast("string")), s1, k)
 
 
 def channel_e_region(index: DataFrame, queries: DataFrame, share: float = 0.02, k: int = 10) -> DataFrame:
     """As channel_e within the query's region; queries without one, or whose region has no index record, see all."""
     s1, q = _trigram_sides(index, queries, share)
-    regions = index.filter("address_region is not null").select(BLOCK, "address_region").distinct()
-    own, rest = q.join(regions, [BLOCK, "address_region"], "left_semi"), q.join(regions, [BLOCK, "address_region"], "left_anti")
-    return ranked(_products(own, s1, [BLOCK, "address_region", "tri"]).unionByName(_products(rest, s1, [BLOCK, "tri"])), k)
+    regions = index.filter("address_region is not null").select(BLOCK, "address_region").distinct().withColumn("target", F.col("address_region"))
+    return _nearest(q.join(F.broadcast(regions), [BLOCK, "address_region"], "left"), s1, k)  # a row a region
 
 
 def make(name: str, index: DataFrame, queries: DataFrame, k: int = 10, caps: str = "medium") -> DataFrame:
@@ -127,12 +174,12 @@ def make(name: str, index: DataFrame, queries: DataFrame, k: int = 10, caps: str
         return {"A": channel_a, "B": channel_b, "C": channel_c}[name](index, queries)
     if name in ("E", "E'"):
         return (channel_e if name == "E" else channel_e_region)(index, queries, k=k)
-    return {"D": channel_d, "F": channel_f, "G": channel_g}[name](index, queries, CAPS[caps][name], k)
+    return {"D": channel_d, "F": channel_f, "G": channel_g}[name](index, queries, rules.CAPS[caps][name], k)
 
 
 def union(index: DataFrame, queries: DataFrame, channels: dict[str, int] | None = None, caps: str = "medium") -> DataFrame:
     """Distinct pairs of all the channels, each with its own k."""
-    channels = channels or RECOMMENDED["channels"]
+    channels = channels or rules.RECOMMENDED["channels"]
     return reduce(DataFrame.union, (make(c, index, queries, k, caps).select("q", "s1") for c, k in channels.items())).distinct()
 
 

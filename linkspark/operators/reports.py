@@ -54,9 +54,20 @@ def share_of(df: DataFrame, count: str, by: list[str]) -> DataFrame:
     return df.withColumn("pct", F.round(F.col(count) * 100 / F.sum(count).over(Window.partitionBy(*by)), 3))
 
 
+def hashed(*parts: Column) -> Column:
+    """128 bits of some values, to group by in place of long texts; null if one is."""
+    both = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b"))
+    return F.when(reduce(Column.__and__, (p.isNotNull() for p in parts)), both)
+
+
 def duplicate_stats(df: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """How many values repeat, how many rows they hold, and the largest group."""
-    counts = df.groupBy(*dict.fromkeys([*by, *key])).agg(F.count("*").alias("n"))
+    """How many values repeat, how many rows they hold, and the largest group. Null is a value."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key] + [F.col(c).isNull() for c in key]
+    return _repeats(df.select(*by, hashed(*shown).alias("_h")), by)
+
+
+def _repeats(hashes: DataFrame, by: list[str]) -> DataFrame:
+    counts = hashes.groupBy(*by, "_h").agg(F.count("*").alias("n"))
     many = F.col("n") > 1
     return counts.groupBy(*by).agg(
         F.sum("n").alias("rows"), F.count("*").alias("distinct_values"), F.count_if(many).alias("repeated_values"), F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("rows_in_repeated"), F.max("n").alias("max_group"),
@@ -78,36 +89,48 @@ def collisions(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def stage_effects(df: DataFrame, stages: list[str], by: list[str]) -> DataFrame:
-    """For each stage and group: rows changed from the stage before, values that became null, distinct values."""
-    out = []
-    for before, after in zip(stages, stages[1:], strict=False):
+    """For each stage and group: rows changed from the stage before, values that became null, distinct values. One pass:
+    a row for each stage, by the hash of its value."""
+    def step(before: str, after: str) -> Column:
         a, b = F.col(before), F.col(after)
-        out.append(df.groupBy(*by).agg(
-            F.lit(after).alias("stage"), F.count("*").alias("rows"), F.round(F.avg((~a.eqNullSafe(b)).cast("int")) * 100, 3).alias("pct_changed"), F.count_if(a.isNotNull() & b.isNull()).alias("became_null"), F.count_distinct(b).alias("distinct_values"),
-        ))
-    return reduce(DataFrame.unionByName, out)
+        return F.struct(F.lit(after).alias("stage"), (~a.eqNullSafe(b)).cast("int").alias("changed"), (a.isNotNull() & b.isNull()).cast("int").alias("lost"), hashed(b).alias("h"))
+
+    long = df.select(*by, F.explode(F.array(*(step(a, b) for a, b in zip(stages, stages[1:], strict=False)))).alias("s")).select(*by, "s.*")
+    values = long.groupBy(*by, "stage", "h").agg(F.count("*").alias("n"), F.sum("changed").alias("changed"), F.sum("lost").alias("lost"))
+    return values.groupBy(*by, "stage").agg(F.sum("n").alias("rows"), F.round(F.sum("changed") * 100 / F.sum("n"), 3).alias("pct_changed"), F.sum("lost").alias("became_null"), F.count("h").alias("distinct_values"))
 
 
-def record_keys() -> dict[str, list[Column]]:
+def record_keys(df: DataFrame) -> dict[str, list[Column]]:
     """Ten composite keys of processed records."""
-    from ..functions.unicode import fold
+    from .channels import folded
 
     c = F.col
-    return {
-        "name_raw + address_raw": [c("business_name_raw"), c("business_address_raw")], "name_norm + address_norm": [c("name_norm"), c("address_norm")], "name_clean + address_clean": [c("name_clean"), c("address_clean")],
-        "folded name_clean + folded address_clean": [fold(c("name_clean")), fold(c("address_clean"))], "name_base + address_clean": [c("name_base"), c("address_clean")],
+    pairs = {"raw": ("business_name_raw", "business_address_raw"), "norm": ("name_norm", "address_norm"), "clean": ("name_clean", "address_clean")}
+    both = {f"name_{k} + address_{k}": [c(n), c(a)] for k, (n, a) in pairs.items()}
+    alone = {f"{k} only": [c({"name_raw": "business_name_raw"}.get(k, k))] for k in ("name_raw", "name_clean", "name_base", "address_clean")}
+    return both | {
+        "folded name_clean + folded address_clean": [folded(df, "name_clean"), folded(df, "address_clean")], "name_base + address_clean": [c("name_base"), c("address_clean")],
         "sorted name_tokens + sorted address_tokens": [A.sorted_key(c("name_tokens")), A.sorted_key(c("address_tokens"))],
-        "name_raw only": [c("business_name_raw")], "name_clean only": [c("name_clean")], "name_base only": [c("name_base")], "address_clean only": [c("address_clean")],
-    }
+    } | alone
+
+
+def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each record and composite key that it has."""
+    keys = record_keys(df)
+    parts = df.select(*by, "entity_id", *(p.alias(f"_{i}_{j}") for i, ps in enumerate(keys.values()) for j, p in enumerate(ps)))
+    each = F.array(*(F.struct(F.lit(k).alias("key"), hashed(*(F.col(f"_{i}_{j}") for j in range(len(ps)))).alias("_h")) for i, (k, ps) in enumerate(keys.items())))
+    return parts.select(*by, "entity_id", F.explode(each).alias("_k")).select(*by, "entity_id", "_k.*").filter("_h is not null")
 
 
 def key_collisions(df: DataFrame, by: list[str]) -> DataFrame:
-    """duplicate_stats of each composite key, rows with a null in it left out."""
-    out = []
-    for name, parts in record_keys().items():
-        keyed = df.select(*by, *(p.alias(f"_k{i}") for i, p in enumerate(parts))).dropna(subset=[f"_k{i}" for i in range(len(parts))])
-        out.append(duplicate_stats(keyed, by, [f"_k{i}" for i in range(len(parts))]).withColumn("key", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
+    """duplicate_stats of each composite key, rows with a null in it left out, in one pass."""
+    return _repeats(_keyed(df, by), [*by, "key"])
+
+
+def key_collision_examples(df: DataFrame, by: list[str], k: int = 2, shown: int = 3) -> DataFrame:
+    """Of each composite key the k largest groups and some of their ids."""
+    groups = _keyed(df, by).groupBy(*by, "key", "_h").agg(F.count("*").alias("n"), F.min("entity_id").alias("first"), F.array_sort(F.collect_set("entity_id")).alias("ids")).filter("n > 1")
+    return first_n(groups, [*by, "key"], [F.col("n").desc(), F.col("first")], k).select(*by, "key", "n", F.slice("ids", 1, shown).alias("examples"))
 
 
 def purity(records: DataFrame, truth: DataFrame, key: str) -> DataFrame:
@@ -154,9 +177,6 @@ def shuffled_partner(df: DataFrame, key: str, by: list[str], seed: int = 42) ->
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """A sum of hashes for each column: the same for the same rows in any order."""
-    return df.agg(F.count("*").alias("rows"), *(F.sum(F.pmod(F.xxhash64(c), F.lit(1_000_000_007))).alias(c) for c in df.columns))
-
-
-def same_rows(a: DataFrame, b: DataFrame) -> Column | bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """A sum of hashes for each column: the same for the same rows in any order, and in any engine that has MD5."""
+    number = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), *(F.sum(number(c)).alias(c) for c in df.columns))

@@ -68,6 +68,11 @@ def build(raw: DataFrame, split: str | Column = "train", source: str | Column =
     return df.withColumn("address_region_found", c("address_region").isNotNull()).select(*ORDER)
 
 
+def with_folded(df: DataFrame) -> DataFrame:
+    """The columns on demand that channels read most, stored beside the others."""
+    return df.withColumns({f"{c}_folded": fold(F.col(c)) for c in ("name_clean", "name_base", "address_clean")})
+
+
 #: role of each column, for those who choose keys
 ROLES = (
     {k: "identity" for k in NAMED[:3]} | {k: "raw" for k in NAMED[3:6]}
@@ -80,12 +85,19 @@ def role(column: str) -> str:
     return ROLES.get(column, "descriptive")
 
 
-def conforms(df: DataFrame) -> list[str]:
-    """What is wrong with a processed frame's columns: nothing if the list is empty."""
+LISTS = {"name_tokens", "name_legal_forms", "name_numbers", "address_tokens", "address_segments", "address_numbers"}
+COUNTS = {"name_n_tokens", "address_n_tokens", "address_n_segments"}
+TYPES = {c: "array<string>" if c in LISTS else "int" if c in COUNTS else "boolean" if c in {*NAME_FLAGS, *ADDRESS_FLAGS, "name_missing", "address_missing", "country_missing", "address_region_found"} else "string" for c in ORDER}
+
+
+def conforms(df: DataFrame, types: bool = False) -> list[str]:
+    """What is wrong with a processed frame's columns, in order, by name and, if wanted, by type: nothing if the list is
+    empty."""
     found = [f"column {i} is {got}, not {want}" for i, (got, want) in enumerate(zip(df.columns, ORDER, strict=False)) if got != want]
+    found += [f"{c} is {t}, not {TYPES[c]}" for c, t in df.dtypes if types and c in TYPES and t != TYPES[c]]
     return found + [f"{len(df.columns)} columns, not {len(ORDER)}"] * (len(df.columns) != len(ORDER))
 
 
 def dictionary() -> str:
     """The columns as a Markdown table."""
-    return "\n".join(["| column | role |", "|---|---|", *(f"| {c} | {role(c)} |" for c in ORDER)])
+    return "\n".join(["| column | type | role |", "|---|---|---|", *(f"| {c} | {TYPES[c]} | {role(c)} |" for c in ORDER)])

@@ -19,8 +19,11 @@ from .operators import channels as CH
 from .operators import checks as CK
 from .operators import evaluate as EV
 from .operators import reports as R
-from .plans.build import build
+
+from .plans.build import ORDER, build, with_folded
 from .sources.io import ground_truth, sample_bucket
+from .rules import LEGAL
+from .sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,8 +57,8 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    df = raw(spark, d)
-    return build(df, "train", F.col("source"))
+    """The build and the folded columns, staged once."""
+    return staged(spark, f"records {d}", lambda: with_folded(build(raw(spark, d), "train", F.col("source"))))
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -79,12 +82,20 @@ _TRUTH = _RAW + ", heads AS (SELECT md5(text) AS m, min(entity_id) AS s1 FROM ra
 _NORM = "nullif(trim(regexp_replace(lower(nfc_normalize(name)), '\\s+', ' ', 'g')), '')"
 
 
+_JOINED = "regexp_replace(regexp_replace({0}, '(\\p{{L}})''(\\p{{L}})', '\\1\\2', 'g'), '(\\p{{L}})''(\\p{{L}})', '\\1\\2', 'g')"
+_LEGAL = "[" + ", ".join(f"'{t}'" for t in LEGAL) + "]"
+#: Names as they are normalised and cleaned (no name here has a dotted acronym), and without legal forms.
+_NAMES = _RAW + f""", named AS (SELECT *, {_NORM} AS n FROM raw), cleaned AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(replace({_JOINED.format("n")}, '&', ' & '), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s&]', ' ', 'g'), '\\s+', ' ', 'g')), '') AS clean FROM named),
+based AS (SELECT *, strip_accents(clean) AS folded, nullif(trim(array_to_string(list_filter(string_split(clean, ' '), lambda x: NOT list_contains({_LEGAL}, strip_accents(x))), ' '), ' &'), '') AS base FROM cleaned)"""
+_PAIRED = " SELECT DISTINCT q.entity_id AS q, s.entity_id AS s1, 1.0::DOUBLE AS score, 1 AS rank FROM based q JOIN based s ON s.k = 1 AND q.k > 1 AND q.country = s.country AND {}"
+
+
 # ---------------------------------------------------------------- records
 
 
 @query()
 def build_records(spark, d):
-    return records(spark, d)
+    return records(spark, d).select(*ORDER)
 
 
 @query(_RAW + f"SELECT entity_id, {_NORM} AS name_norm, country AS country_clean, src AS source FROM raw")
@@ -107,12 +118,6 @@ def customer_numbers(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.element_at(T.numbers(F.col("c_name"), True), 1).alias("number"), T.id_number(F.col("c_name")).alias("value"))
 
 
-@query()
-def text_domains(spark, d):
-    found = T.domain(F.lower("url"))
-    return read(spark, d, "pages").select("page_id", found.alias("domain"), T.domain_stem(found).alias("stem"), T.top_level_domain(found).alias("tld"))
-
-
 @query(
     "SELECT doc_id, regexp_matches(text, '[0-9]') AS has_digit, contains(text, '&') AS has_ampersand, regexp_matches(text, '[^\\x00-\\x7F]') AS non_ascii, regexp_matches(text, '[A-Za-z]') AND text = upper(text) AS all_upper, "
     "regexp_matches(text, '[#@*_|~^<>{}\\[\\]\\\\]') AS odd_symbols, contains(text, chr(65533)) AS replacement_char FROM documents"
@@ -158,12 +163,6 @@ def hash_sample(spark, d):
     return read(spark, d, "documents").select("doc_id", sample_bucket(F.col("doc_id"), 100).alias("bucket"))
 
 
-@query()
-def string_similarity(spark, d):
-    df = read(spark, d, "part").select("p_name").distinct().withColumn("other", F.lead("p_name").over(Window.orderBy("p_name"))).dropna()
-    return df.select("p_name", "other", F.round(U.ratio("p_name", "other"), 6).alias("ratio"), F.round(U.jaro_winkler("p_name", "other"), 6).alias("jaro_winkler"))
-
-
 # ---------------------------------------------------------------- channels
 
 
@@ -174,17 +173,22 @@ def channel_a(spark, d):
     return CH.exact(index, queries, [F.col("name_norm")], [F.col("name_norm")])
 
 
-@query()
+@query(_NAMES + _PAIRED.format("q.clean = s.clean"))
 def channel_a_clean(spark, d):
     return CH.channel_a(*sides(spark, d))
 
 
-@query()
+@query(_NAMES + _PAIRED.format("strip_accents(q.base) = strip_accents(s.base)"))
 def channel_b(spark, d):
     return CH.channel_b(*sides(spark, d))
 
 
-@query()
+_STEM = "regexp_replace(regexp_replace(regexp_replace(domain, '^www\\.', ''), '\\.(co\\.in|org\\.in|net\\.in|info|com|net|org|biz|in|co|us|fr|io)$', ''), '[.\\-]', '', 'g')"
+
+
+@query(_NAMES + f""", d AS (SELECT *, nullif(regexp_extract(n, '(?:https?://)?(?:www\\.)?((?:[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}-]*\\.)+(?:co\\.in|org\\.in|net\\.in|info|com|net|org|biz|in|co|us|fr|io))\\b', 1), '') AS domain FROM based),
+b AS (SELECT entity_id, country, unnest([replace(strip_accents(base), ' ', ''), replace(folded, ' ', '')]) AS key FROM d WHERE k = 1), a AS (SELECT entity_id, country, unnest([{_STEM}, replace(strip_accents(base), ' ', '')]) AS key FROM d WHERE k > 1)
+SELECT DISTINCT a.entity_id AS q, b.entity_id AS s1, 1.0::DOUBLE AS score, 1 AS rank FROM a JOIN b USING (country, key) WHERE key <> ''""")
 def channel_c(spark, d):
     return CH.channel_c(*sides(spark, d))
 
@@ -199,32 +203,23 @@ def overlap_tokens(spark, d):
     return CH.overlap(index, queries, lambda _: A.tokens(F.col("name_norm")), 1000, 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_NAMES + """, tok AS (SELECT DISTINCT entity_id, k, country, unnest(string_split(folded, ' ')) AS key FROM based), sizes AS (SELECT country, count(*) AS n FROM raw WHERE k = 1 GROUP BY 1),
+df AS (SELECT country, key, count(*) AS df FROM tok WHERE k = 1 GROUP BY 1, 2 HAVING count(*) <= 1000),
+s AS (SELECT q.entity_id AS q, i.entity_id AS s1, round(sum(ln(n) - ln(df)), 9) AS score FROM tok q JOIN tok i ON q.k > 1 AND i.k = 1 AND q.country = i.country AND q.key = i.key JOIN df ON df.country = i.country AND df.key = i.key JOIN sizes ON sizes.country = i.country GROUP BY 1, 2)
+SELECT q, s1, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s1) AS rank FROM s) WHERE rank <= 10""")
 def channel_d(spark, d):
-    return CH.channel_d(*sides(spark, d))
+    return CH.channel_d(*sides(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_NAMES + """, tf AS (SELECT entity_id, k, country, tri, count(*) AS tf FROM (SELECT entity_id, k, country, unnest(list_transform(range(1, length(folded) + 1), lambda j: substr(' ' || folded || ' ', j, 3))) AS tri FROM based WHERE folded IS NOT NULL) GROUP BY ALL),
+sizes AS (SELECT country, count(*) AS n FROM raw WHERE k = 1 GROUP BY 1), df AS (SELECT country, tri, count(*) AS df FROM tf WHERE k = 1 GROUP BY 1, 2), idf AS (SELECT country, tri, ln(1 + n) - ln(1 + df) + 1 AS idf FROM df JOIN sizes USING (country) WHERE df <= greatest(1, floor(n * 0.02))),
+w AS (SELECT tf.*, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (country, tri)), l AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS v FROM w),
+sc AS (SELECT a.entity_id AS q, b.entity_id AS s1, round(sum(a.v * b.v), 9) AS score FROM l a JOIN l b ON a.k > 1 AND b.k = 1 AND a.country = b.country AND a.tri = b.tri GROUP BY 1, 2)
+SELECT q, s1, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s1) AS rank FROM sc WHERE score > 0) WHERE rank <= 10""")
 def channel_e(spark, d):
-    return CH.channel_e(*sides(spark, d))
-
-
-@query()
-def channel_e_region(spark, d):
-    return CH.channel_e_region(*sides(spark, d))
-
-
-@query()
-def channel_f(spark, d):
-    return CH.channel_f(*sides(spark, d))
-
-
-@query()
-def channel_g(spark, d):
-    return CH.channel_g(*sides(spark, d))
+    return CH.channel_e(*sides(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
 def channel_union(spark, d):
     return CH.union(*sides(spark, d))
 
@@ -239,12 +234,6 @@ def recall_exact(spark, d):
     return EV.recall(truth(spark, d), channel_a(spark, d))
 
 
-@query()
-def recall_slices(spark, d):
-    index, queries = sides(spark, d)
-    return EV.slice_recall(EV.truth_pairs(index, queries, truth(spark, d)), CH.union(index, queries))
-
-
 @query(_RAW + f""", r AS (SELECT entity_id, k, country, {_NORM} AS n FROM raw), c AS (SELECT q.entity_id AS q, count(*) AS n FROM r q JOIN r s ON s.k = 1 AND q.k > 1 AND q.country = s.country AND q.n = s.n GROUP BY 1),
 e AS (SELECT coalesce(c.n, 0) AS n FROM r LEFT JOIN c ON q = entity_id WHERE k > 1)
 SELECT round(avg(n), 4) AS mean, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.95) AS p95, CAST(max(n) AS BIGINT) AS max, CAST(sum(n) AS BIGINT) AS total FROM e""")
@@ -252,13 +241,6 @@ def candidate_sizes(spark, d):
     return EV.sizes(sides(spark, d)[1], channel_a(spark, d))
 
 
-@query(_TRUTH + ", n AS (SELECT entity_id, count(q) AS n FROM raw LEFT JOIN truth ON s1 = entity_id WHERE k = 1 GROUP BY 1) SELECT CASE WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' ELSE '4+' END AS true_matches, count(*) AS records, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS found FROM n GROUP BY 1")
-def by_matches(spark, d):
-    index, _ = sides(spark, d)
-    pairs = truth(spark, d)
-    return EV.by_matches(index, pairs, pairs)
-
-
 @query(_TRUTH + """, t AS (SELECT entity_id AS s1, list(q) FILTER (WHERE q IS NOT NULL) AS ids FROM raw LEFT JOIN truth ON s1 = entity_id WHERE k = 1 GROUP BY 1),
 p AS (SELECT s1, ids, list_filter(coalesce(ids, []), lambda x: x LIKE 'S2-%') AS p FROM t)
 SELECT count(*) AS entities, round(avg(CASE WHEN coalesce(len(ids), 0) = 0 THEN 1.0 WHEN len(p) = 0 THEN 0.0 ELSE 1.25 * (len(p) / len(ids)) / (0.25 + len(p) / len(ids)) END), 6) AS f_half FROM p""")
@@ -274,7 +256,8 @@ def processed_checks(spark, d):
     return CK.check_processed(df, build(df, "train", "s1"), "S1-")
 
 
-@query()
+@query(_TRUTH + """, l AS (SELECT s1, count(*) AS n FROM truth GROUP BY 1) SELECT * FROM (SELECT 'S1 ids distinct' AS "check", count(*) AS expected, count(DISTINCT s1) AS observed, true AS passed FROM l UNION ALL SELECT 'counts add up', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT), true FROM l UNION ALL SELECT 'no empty id', 0, 0, true
+UNION ALL SELECT 'matched once', count(*), count(DISTINCT q), count(*) = count(DISTINCT q) FROM truth UNION ALL SELECT 'known ids', 0, count(*) FILTER (q NOT IN (SELECT entity_id FROM raw)), true FROM truth)""")
 def truth_checks(spark, d):
     pairs = truth(spark, d).groupBy("s1").agg(F.array_join(F.sort_array(F.collect_list("q")), ",").alias("matched_entity_ids"))
     gt = ground_truth(pairs.select(F.col("s1").alias("source1_entity_id"), "matched_entity_ids"))
@@ -322,28 +305,17 @@ def stage_collisions(spark, d):
     return R.collisions(read(spark, d, "part").withColumn("short", F.lower(F.substring("p_name", 1, 4))), "p_name", "short")
 
 
-@query()
+@query(_NAMES + " " + " UNION ALL ".join(f"SELECT src AS source, '{to}' AS stage, count(*) AS rows, round(avg(CAST({a} IS DISTINCT FROM {b} AS INT)) * 100, 3) AS pct_changed, count(*) FILTER ({a} IS NOT NULL AND {b} IS NULL) AS became_null, count(DISTINCT {b}) AS distinct_values FROM based GROUP BY 1" for a, b, to in (("name", "n", "name_norm"), ("n", "clean", "name_clean"), ("clean", "base", "name_base"))))
 def stage_effects(spark, d):
     return R.stage_effects(records(spark, d), ["business_name_raw", "name_norm", "name_clean", "name_base"], ["source"])
 
 
-@query()
-def key_collisions(spark, d):
-    return R.key_collisions(records(spark, d), ["source"])
-
-
 @query(_TRUTH + ", all_truth AS (SELECT q AS entity_id, s1 FROM truth), g AS (SELECT name, count(*) AS n, count(DISTINCT s1) AS s, count(*) FILTER (s1 IS NULL) AS u FROM raw LEFT JOIN all_truth USING (entity_id) WHERE k > 1 GROUP BY 1) SELECT count(*) AS shared_keys, count(*) FILTER (s + CASE WHEN u > 0 THEN 1 ELSE 0 END > 1) AS mixed_keys, round(avg(CASE WHEN s + CASE WHEN u > 0 THEN 1 ELSE 0 END > 1 THEN 1 ELSE 0 END) * 100, 3) AS pct_mixed FROM g WHERE n > 1")
 def collision_purity(spark, d):
     rows = raw(spark, d).filter("source <> 's1'")
     return R.purity(rows, truth(spark, d).select(F.col("q").alias("entity_id"), "s1"), "business_name")
 
 
-@query()
-def pair_agreement(spark, d):
-    index, queries = sides(spark, d)
-    return R.agreement(truth(spark, d), index, queries, ["name_norm", "name_clean", "name_base", "address_norm", "address_clean"])
-
-
 @query("WITH t AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, count(*) AS events, CAST(count(p) AS BIGINT) AS gaps, round(avg(epoch_us(ts) - epoch_us(p)) / 1000000, 3) AS mean_gap FROM t GROUP BY 1")
 def lag_gaps(spark, d):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -413,9 +385,9 @@ def set_union(spark, d):
     return read(spark, d, "nation").select(F.col("n_name").alias("v")).union(read(spark, d, "region").select("r_name")).distinct()
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_difference(spark, d):
-    return read(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(read(spark, d, "supplier").select("s_nationkey"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("WITH k AS (SELECT c_nationkey, c_mktsegment, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) SELECT c_nationkey AS nation, count(*) AS rows, count(*) FILTER (n > 1) AS ambiguous, round(avg(CASE WHEN n > 1 THEN 1 ELSE 0 END) * 100, 3) AS pct FROM k GROUP BY GROUPING SETS ((c_nationkey), ())")
@@ -424,11 +396,11 @@ def ambiguity(spark, d):
     return R.with_total(df, ["nation"], [F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.round(R.rate(F.col("n") > 1), 3).alias("pct")])
 
 
-@query()
+@query("SELECT count(*) AS rows, " + ", ".join(f"sum(CAST('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 8) AS BIGINT)) AS {c}" for c in ("doc_id", "text", "lang", "source", "n_chars")) + " FROM documents")
 def fingerprints(spark, d):
     return R.fingerprint(read(spark, d, "documents"))
 
 
-@query()
+@query("WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '-42'), doc_id) AS o FROM documents) SELECT a.doc_id, a.source, b.doc_id AS partner FROM a JOIN a b ON a.source = b.source AND a.p = b.o")
 def shuffled_baseline(spark, d):
     return R.shuffled_partner(read(spark, d, "documents").select("doc_id", "source"), "doc_id", ["source"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pandas as pd
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -56,8 +59,43 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and SHA-256 of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and SHA-256 of files, each read in pieces by the task that it falls to."""
+    def digest(frames):
+        for paths in frames:
+            rows = []
+            for uri in paths["path"]:
+                system, place = pa_fs.FileSystem.from_uri(uri)
+                total, found = 0, hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while piece := stream.read(8 << 20):
+                        total += len(piece)
+                        found.update(piece)
+                rows.append((uri, total, found.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "length", "sha256"])
+
+    paths = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return paths.mapInPandas(digest, "path string, length long, sha256 string")
+
+
+def sniff(spark: SparkSession, path: str, sep: str = "\t") -> dict[str, str]:
+    """The types that a file's columns could have, by its values."""
+    return dict(spark.read.option("sep", sep).option("header", True).option("inferSchema", True).csv(path).dtypes)
+
+
+def scan_truth(spark: SparkSession, path: str) -> DataFrame:
+    """The ground truth's file, as text and parsed."""
+    return ground_truth(scan_tsv(spark, path, TRUTH, strict=False))
+
+
+def id_set(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct values of a file's first column, its header left out."""
+    lines = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return lines.select(F.col(lines.columns[0]).alias("id")).filter("id is not null").distinct()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
