@@ -8,11 +8,13 @@ the first n - ceil(s n) + 1 of each:
 
 1. one pass over the texts gives the nodes, with the parities of their set over 512 buckets or more, and the sketch;
 2. one gives the postings of those first shingles; the ones that a single node has go;
-3. in two of its lists, each node is checked with its first compatible partner, and links are joined into components.
-   Nodes are compatible if their sizes are, and if the difference of their parities, which is never more than that of
-   the sets, is small enough;
-4. lists whose nodes are all of one component go; in the others, all compatible pairs of different components are
-   checked. That leaves out no link between components, and few pairs within one. A long list is split: its largest
+3. in two of its lists, each node is checked with the compatible partner that is nearest, and links are joined into
+   components. Nodes are compatible if their sizes are, and if the difference of their parities, which is never more
+   than that of the sets, is small enough; the nearest are those of the least difference, as of many copies of one text
+   each is near to that, but not to all the others;
+4. lists whose nodes are all of one component go; in the others, each component is checked with the nearest compatible
+   node of another, and links are joined again;
+5. in the lists that still have several components, all compatible pairs of different ones are checked. That leaves out no link between components, and few pairs within one. A long list is split: its largest
    component in blocks against blocks of all others, and these against each other. For a check, one pass over the
    texts gives the ordered sets it needs.
 
@@ -246,24 +248,53 @@ def _pairs_within(sizes: np.ndarray, first: np.ndarray | None = None) -> tuple[n
     return i, j
 
 
-def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], similarity: int = SIMILARITY) -> np.ndarray:
-    """The numbers of the pairs i, j whose sizes and parities don't rule a link out."""
+def _slack(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the pairs i, j whose sizes and parities don't rule a link out, and by how many shingles not."""
     ok = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+    both = n[i[ok]] + n[j[ok]]
+    allowed = both - 2 * needed(0, both, similarity)
+    left = allowed.copy()
     for place, matrix in levels:
-        kept, step = [], (1 << 21) // matrix.shape[1]
+        if not len(matrix):
+            continue
+        kept, slacks, step = [], [], (1 << 21) // matrix.shape[1]
         for a in range(0, len(ok), step):
             part = ok[a : a + step]
             x, y = place[i[part]], place[j[part]]
-            apart = np.bitwise_count(matrix[x] ^ matrix[y]).sum(1, dtype=np.int64) if len(matrix) else 0
-            both = n[i[part]] + n[j[part]]
-            kept.append(part[(x < 0) | (y < 0) | (apart <= both - 2 * needed(0, both, similarity))])
-        ok = np.concatenate(kept) if kept else ok
-    return ok
+            apart = np.bitwise_count(matrix[x] ^ matrix[y]).sum(1, dtype=np.int64)
+            now = np.where((x < 0) | (y < 0), left[a : a + step], allowed[a : a + step] - apart)
+            kept.append(now >= 0)
+            slacks.append(now)
+        if kept:
+            keep = np.concatenate(kept)
+            ok, allowed, left = ok[keep], allowed[keep], np.concatenate(slacks)[keep]
+    return ok, left
+
+
+def _compatible(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], similarity: int = SIMILARITY) -> np.ndarray:
+    return _slack(i, j, n, levels, similarity)[0]
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """For each number that some of the pairs have, on either side, the pair of greatest slack (then the first)."""
+    own, pair = np.concatenate([j, i]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, -slack[pair], own))
+    first = np.concatenate([[True], own[order][1:] != own[order][:-1]]) if len(order) else np.zeros(0, bool)
+    return np.unique(pair[order[first]])
 
 
-def _candidates(every: bool, similarity: int) -> Callable:
-    """From posting lists (key, side, node, n, parities, label), sorted by key, label and node: for each node its first
-    compatible partner, or every compatible pair of different labels."""
+#: Candidate pairs that a task holds before it hands them on, and that it remembers to have handed on.
+HELD = 100_000
+
+
+def _pair_batch(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _candidates(labelled: bool, every: bool, similarity: int) -> Callable:
+    """From posting lists (key, side, node, n, parities, label), sorted by key, label and node: every compatible pair of
+    different labels, or for each label of a list (each node, if they have none) that which is nearest by parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[bytes, bytes]] = set()
@@ -279,14 +310,12 @@ def _candidates(every: bool, similarity: int) -> Callable:
             sizes = np.diff(np.append(edges, len(key)))
             # pairs of one label needn't be made: partners stand before the first of the same list and label
             first = np.arange(len(key))
-            if every:
+            if labelled:
                 label = np.array(table.column("label").to_pylist(), object)
                 starts = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
                 first = np.repeat(starts, np.diff(np.append(starts, len(key))))
             work = np.add.reduceat(first - np.repeat(edges, sizes), edges) if len(edges) else np.zeros(0, np.int64)
             found: set[tuple[bytes, bytes]] = set()
-            if len(told) > 500_000:
-                told.clear()
             done = 0
             while done < len(sizes):  # some millions of pairs at a time
                 to = done + max(1, int(np.searchsorted(np.cumsum(work[done:]), 1 << 21, "right")))
@@ -296,17 +325,21 @@ def _candidates(every: bool, similarity: int) -> Callable:
                 i, j = i + base, j + base
                 keep = (side[i] != side[j]) | (side[i] == 2)
                 i, j = i[keep], j[keep]
-                ok = _compatible(i, j, n, levels, similarity)
-                i, j = i[ok], j[ok]
-                if not every:  # i rises within j, so the first is the smallest
-                    least = np.unique(j, return_index=True)[1]
-                    i, j = i[least], j[least]
-                found.update((min(a, b), max(a, b)) for a, b in zip(node[i], node[j], strict=True) if a != b)
+                ok, slack = _slack(i, j, n, levels, similarity)
+                if not every:
+                    ok = ok[_nearest(first[i[ok]], first[j[ok]], slack)]  # where a list's label, or node, begins
+                for part in range(0, len(ok), HELD):
+                    some = ok[part : part + HELD]
+                    found.update((min(a, b), max(a, b)) for a, b in zip(node[i[some]], node[j[some]], strict=True) if a != b)
+                    found -= told
+                    if len(found) >= HELD:
+                        yield _pair_batch(found)
+                        told = found
+                        found = set()
                 done = to
-            if found := found - told:
-                told |= found
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            if found:
+                yield _pair_batch(found)
+                told = found if len(told) > HELD else told | found
 
     return run
 
@@ -383,6 +416,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    if labels.isEmpty():
+        return labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         better = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("new"), "label")
@@ -394,6 +429,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: these join labels, of which there are fewer than nodes."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    every = cut(labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")))
+    of = lambda end: every.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    new = components(cut(joined.distinct())).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    return cut(every.join(new, "label", "left").select("node", F.coalesce("_new", "label").alias("label")))
+
+
 #: Keys of hot shingles are dealt to so many tasks; a shingle that isn't hot has few postings by the sketch.
 SALTS = 16
 
@@ -470,14 +515,16 @@ def _linked(docs: DataFrame, shingle: int, similarity: int, missed: float | None
     dealt = lists.withColumn("_two", two).filter("_two <= 2").join(parities, "node")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / BLOCK))  # a long list's nodes meet within blocks only
     dealt = dealt.select(F.when(F.col("df") > 2 * BLOCK, F.xxhash64("key", block)).otherwise(F.col("key")).alias("key"), F.lit(2).alias("side"), "node", "n", "parities")
-    near = cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(False, similarity), "a binary, b binary").distinct())
-    links = _links(near, docs, sketch, shingle, similarity)
-    labels = components(links)
-    labelled = lists.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
-    again = _blocks(cut(labelled.join(mixed, "key"))).join(parities, "node").repartition("key").sortWithinPartitions("key", "label", "node")
-    rest = cut(again.mapInArrow(_candidates(True, similarity), "a binary, b binary").distinct())
-    return rows.drop("parities"), nodes, components(links.unionByName(_links(rest, docs, sketch, shingle, similarity)))
+    near = cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(False, False, similarity), "a binary, b binary").distinct())
+    labels = components(_links(near, docs, sketch, shingle, similarity))
+    for every in (False, True):
+        labelled = lists.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
+        again = _blocks(cut(labelled.join(mixed, "key"))).join(parities, "node").repartition("key").sortWithinPartitions("key", "label", "node")
+        more = cut(again.mapInArrow(_candidates(True, every, similarity), "a binary, b binary").distinct())
+        labels = merged(labels, _links(more, docs, sketch, shingle, similarity))
+        release(docs.sparkSession)
+    return rows.drop("parities"), nodes, labels
 
 
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, missed: float | None = MISSED) -> DataFrame:
