@@ -52,7 +52,7 @@ DICTIONARY, SAMPLE, SAMPLED = 64 << 10, 1000, 64 << 10
 #: Documents of a shard, about; shards whose sizes are added up at once.
 SHARD, GROUP = 20_000, 1024
 #: Bytes of pieces that are kept, about.
-MAX_KEPT = 64 << 20
+MAX_KEPT = 112 << 20
 #: Characters that a word is encoded without, if a letter below LETTERS (all of which any Unicode version has) is before.
 STOPS, LETTERS = {".", ","}, "\u0250"
 
