@@ -220,7 +220,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             found, now, met = [], [], []
             for j, (query_id, query) in enumerate(zip(wanted, q, strict=True)):
                 rows, scores, scored = threshold(query, m, lists, k + 1, floors[j], longest)
-                order = sorted(range(len(rows)), key=lambda i: -scores[i])  # noqa: B023
+                if scores.dtype != object:  # what is below the threshold can't be among the results
+                    high = scores >= floors[j]
+                    rows, scores = rows[high], scores[high]
+                    order = np.argsort(-scores, kind="stable")
+                else:
+                    order = sorted(range(len(rows)), key=lambda i: -scores[i])  # noqa: B023
                 best: list[tuple[int, int]] = []
                 held = 0
                 for place, i in enumerate(order):
