@@ -425,7 +425,6 @@ def components(links: DataFrame) -> DataFrame:
         after = cut(better.join(jump, better["new"] == jump["_n"], "left").select("node", F.least("new", "_l").alias("new"), "label"))
         changed = after.filter("new <> label").limit(1).count()
         labels = after.select("node", F.col("new").alias("label"))
-        release(links.sparkSession)
         if not changed:
             return labels
 
@@ -517,7 +516,6 @@ def _linked(docs: DataFrame, shingle: int, similarity: int, missed: float | None
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / BLOCK))  # a long list's nodes meet within blocks only
     dealt = dealt.select(F.when(F.col("df") > 2 * BLOCK, F.xxhash64("key", block)).otherwise(F.col("key")).alias("key"), F.lit(2).alias("side"), "node", "n", "parities")
     near = cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(False, False, similarity), "a binary, b binary").distinct())
-    release(docs.sparkSession)
     labels = components(_links(near, docs, sketch, shingle, similarity))
     for every in (False, True):
         labelled = lists.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
@@ -538,8 +536,6 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     # what a document doesn't find in its own row: nodes of a link and nodes of copies
     known = cut(nodes.filter("copies > 1").select("node", "least", "copies").join(found, "node", "full").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")))
     rows = rows.select("doc_id", "n", "node")
-    nodes = labels = found = least = None
-    release(docs.sparkSession)
     # of a hundredth of all rows or more: 100 nodes at most, so they can be broadcast
     hot_nodes = known.filter(F.col("copies") >= F.lit(max(rows.count() // 100, 1000))).select("node", F.col("component_id").alias("_hot"), F.lit(True).alias("_is"))
     marked = rows.join(F.broadcast(hot_nodes), "node", "left")
