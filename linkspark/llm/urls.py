@@ -64,8 +64,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     n, most = listed.agg(F.count("*"), F.coalesce(F.max(F.size("_spans")), F.lit(0))).first()
     small = n <= BROADCAST_ROWS and most <= BROADCAST_SPANS
     found = keyed.join(F.broadcast(listed), "value") if small else salted_join(keyed, listed, ["value"], "inner", ["url", "fetched"])
-    active = F.exists("_spans", lambda s: (s["valid_from"] <= F.col("fetched")) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"])))
-    hits = found.filter(active).select("url", "fetched", "value").distinct()
+    # exploded and not tested by a lambda: the optimizer moves a lambda with outer columns below the join
+    spans = found.select("url", "fetched", "value", F.explode("_spans").alias("_span"))
+    active = (F.col("_span.valid_from") <= F.col("fetched")) & (F.col("_span.valid_to").isNull() | (F.col("fetched") < F.col("_span.valid_to")))
+    hits = spans.filter(active).select("url", "fetched", "value").distinct()
     best = F.min(F.struct((-F.length("value")).alias("l"), F.col("value").alias("v")))
     matches = cut(hits.groupBy("url", "fetched").agg(F.count("*").alias("n"), best.alias("_best")).select("url", "fetched", "n", F.col("_best.v").alias("matched")))
     few = matches.count() <= BROADCAST_ROWS
