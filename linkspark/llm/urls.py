@@ -64,7 +64,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     n, most = listed.agg(F.count("*"), F.coalesce(F.max(F.size("_spans")), F.lit(0))).first()
     small = n <= BROADCAST_ROWS and most <= BROADCAST_SPANS
     found = keyed.join(F.broadcast(listed), "value") if small else salted_join(keyed, listed, ["value"], "inner", ["url", "fetched"])
-    # exploded and not tested by a lambda: the optimizer moves a lambda with outer columns below the join
+    # exploded and not tested by a lambda over _spans, for which Spark on a cluster couldn't find `fetched`
     spans = found.select("url", "fetched", "value", F.explode("_spans").alias("_span"))
     active = (F.col("_span.valid_from") <= F.col("fetched")) & (F.col("_span.valid_to").isNull() | (F.col("fetched") < F.col("_span.valid_to")))
     hits = spans.filter(active).select("url", "fetched", "value").distinct()
