@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from .. import rules
 from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import unicode as U
+from ..sources.staging import staged
 from . import reports as R
 from .channels import folded
 from .profiles import pair_frame, u
@@ -27,16 +29,17 @@ def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def indexed(df: DataFrame, name: str = "row") -> DataFrame:
     """A global row index in the frame's own order, without a sort in one task: rows are numbered in their partition,
-    after the counts of the partitions before it (a number a partition comes to the driver)."""
+    after the counts of the partitions before it (a number a partition comes to the driver). Rows are staged with their
+    partition, as another run of the same plan may deal them otherwise: bounds of ranges come from a sample."""
     spark = df.sparkSession
-    parts = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    within = F.col("_m").bitwiseAND((1 << 33) - 1)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parts = staged(spark, f"indexed {uuid.uuid4().hex}", lambda: df.withColumns({"_p": F.spark_partition_id(), "_m": within}))
     before, starts = 0, []
     for r in sorted(parts.groupBy("_p").count().collect(), key=lambda r: r["_p"]):
         starts.append((r["_p"], before))
         before += r["count"]
     begins = F.broadcast(spark.createDataFrame(starts, "_p int, _s long"))
-    return parts.join(begins, "_p").withColumn(name, F.col("_s") + within).drop("_p", "_m", "_s")
+    return parts.join(begins, "_p").withColumn(name, F.col("_s") + F.col("_m")).drop("_p", "_m", "_s")
 
 
 def _shuffled(df: DataFrame, key: str, by: list[str], columns: list[str], seed: int) -> DataFrame:

@@ -41,3 +41,10 @@ def test_channel_a_clean_builds_names_alone(spark, documents):
     found = core.channel_a_clean(spark, documents).count()
     assert not built_addresses(spark, documents)
     assert found == CH.channel_a(*core.sides(spark, documents)).count() > 0
+
+
+def test_rows_numbered_in_one_dealing(spark):
+    """Each run of a range partitioning draws its own sample, so bounds differ between runs."""
+    df = spark.range(0, 60000, 1, 6).withColumn("k", F.xxhash64("id")).repartitionByRange(8, "k").sortWithinPartitions("k")
+    rows = AU.indexed(df).orderBy("k").select("row").toPandas()["row"].tolist()
+    assert rows == list(range(60000))
