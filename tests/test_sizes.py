@@ -48,3 +48,9 @@ def test_rows_numbered_in_one_dealing(spark):
     df = spark.range(0, 60000, 1, 6).withColumn("k", F.xxhash64("id")).repartitionByRange(8, "k").sortWithinPartitions("k")
     rows = AU.indexed(df).orderBy("k").select("row").toPandas()["row"].tolist()
     assert rows == list(range(60000))
+
+
+def test_channel_a_builds_names_alone(spark, documents):
+    found = core.channel_a(spark, documents).count()
+    assert not built_addresses(spark, documents)
+    assert found == CH.exact(*core.sides(spark, documents), [F.col("name_norm")], [F.col("name_norm")]).count() > 0
