@@ -54,3 +54,9 @@ def test_channel_a_builds_names_alone(spark, documents):
     found = core.channel_a(spark, documents).count()
     assert not built_addresses(spark, documents)
     assert found == CH.exact(*core.sides(spark, documents), [F.col("name_norm")], [F.col("name_norm")]).count() > 0
+
+
+def test_channel_b_builds_names_alone(spark, documents):
+    found = core.channel_b(spark, documents).count()
+    assert not built_addresses(spark, documents)
+    assert found == CH.channel_b(*core.sides(spark, documents)).count() > 0
