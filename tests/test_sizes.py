@@ -60,3 +60,9 @@ def test_channel_b_builds_names_alone(spark, documents):
     found = core.channel_b(spark, documents).count()
     assert not built_addresses(spark, documents)
     assert found == CH.channel_b(*core.sides(spark, documents)).count() > 0
+
+
+def test_channel_c_builds_names_alone(spark, documents):
+    found = core.channel_c(spark, documents).count()
+    assert not built_addresses(spark, documents)
+    assert found == CH.channel_c(*core.sides(spark, documents)).count() > 0
