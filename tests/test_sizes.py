@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from linkspark import queries as core
 from linkspark.operators import audits as AU
 from linkspark.operators import channels as CH
+from linkspark.operators import evaluate as EV
 from linkspark.sources import staging
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,3 +67,17 @@ def test_channel_c_builds_names_alone(spark, documents):
     found = core.channel_c(spark, documents).count()
     assert not built_addresses(spark, documents)
     assert found == CH.channel_c(*core.sides(spark, documents)).count() > 0
+
+
+def test_recall_exact_makes_no_other_pairs(spark, documents):
+    found = core.recall_exact(spark, documents)
+    assert "explode(s1" not in found._jdf.queryExecution().toString() and not built_addresses(spark, documents)
+    assert found.collect() == EV.recall(core.truth(spark, documents), core.channel_a(spark, documents)).collect()
+
+
+def test_exact_among(spark):
+    index = key_rows(spark, [("s1", "US", "x", "y"), ("s2", "US", "z", None), ("s3", "IN", "x", "y")])
+    queries = key_rows(spark, [("q1", "US", "y", "x"), ("q2", "US", "", "z")])
+    pairs = spark.createDataFrame([(q, s) for q in ("q1", "q2", "q3") for s in ("s1", "s2", "s3")], "q string, s1 string")
+    found = CH.exact_among(pairs, index, queries, [F.col("a"), F.col("b")], [F.col("a"), F.col("b")])
+    assert sorted((r.q, r.s1) for r in found.collect()) == [("q1", "s1"), ("q2", "s2")]
