@@ -46,8 +46,12 @@ def slice_recall(truth: DataFrame, candidates: DataFrame) -> DataFrame:
 def sizes(queries: DataFrame, candidates: DataFrame, side: str = "q") -> DataFrame:
     """Candidates a record: those without any count as zero."""
     counts = candidates.select("q", "s1").distinct().groupBy(side).agg(F.count("*").alias("n"))
-    every = queries.select(F.col("entity_id").alias(side)).join(counts, side, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    return every.agg(F.round(F.avg("n"), 4).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"), F.max("n").alias("max"), F.sum("n").alias("total"))
+    return size_figures(queries.select(F.col("entity_id").alias(side)).join(counts, side, "left").select(F.coalesce("n", F.lit(0)).alias("n")))
+
+
+def size_figures(counts: DataFrame) -> DataFrame:
+    """Of ``n``, a row a record."""
+    return counts.agg(F.round(F.avg("n"), 4).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"), F.max("n").alias("max"), F.sum("n").alias("total"))
 
 
 def by_matches(index: DataFrame, truth: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -81,3 +81,16 @@ def test_exact_among(spark):
     pairs = spark.createDataFrame([(q, s) for q in ("q1", "q2", "q3") for s in ("s1", "s2", "s3")], "q string, s1 string")
     found = CH.exact_among(pairs, index, queries, [F.col("a"), F.col("b")], [F.col("a"), F.col("b")])
     assert sorted((r.q, r.s1) for r in found.collect()) == [("q1", "s1"), ("q2", "s2")]
+
+
+def test_candidate_sizes_builds_names_alone(spark, documents):
+    found = core.candidate_sizes(spark, documents).collect()
+    assert not built_addresses(spark, documents)
+    assert found == EV.sizes(core.sides(spark, documents)[1], core.channel_a(spark, documents)).collect()
+
+
+def test_exact_sizes(spark):
+    index = key_rows(spark, [("s1", "US", "x", "y"), ("s2", "US", "x", None), ("s3", "IN", "x", "y"), ("s4", "US", "y", None)])
+    queries = key_rows(spark, [("q1", "US", "y", "x"), ("q2", "US", "", "x"), ("q3", "US", None, None)])
+    both = [F.col("a"), F.col("b")]
+    assert {r.q: r.n for r in CH.exact_sizes(index, queries, both, both).collect()} == {"q1": 3, "q2": 2, "q3": 0}
