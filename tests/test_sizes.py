@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,34 @@ def test_exact_sizes(spark):
     queries = key_rows(spark, [("q1", "US", "y", "x"), ("q2", "US", "", "x"), ("q3", "US", None, None)])
     both = [F.col("a"), F.col("b")]
     assert {r.q: r.n for r in CH.exact_sizes(index, queries, both, both).collect()} == {"q1": 3, "q2": 2, "q3": 0}
+
+
+def test_overlap_by_classes(spark, monkeypatch):
+    """Copies, a key above the cap, one that all records have, and ids that tie, against brute force."""
+    monkeypatch.setattr(CH, "ROWS", 4)
+    monkeypatch.setattr(CH, "BUNDLE", 3)
+    names = ["a b", "b a", "a c", "c d", "d e f", "a", None, "f", "c c d"]
+    sides = [[(f"{p}{i:02}", "US" if i % 4 else "IN", names[i * m % 9], None) for i in range(45)] for p, m in (("s", 1), ("q", 2))]
+    sides[0] += [("t1", "FR", "g h", None), ("t2", "FR", "g", None)]
+    sides[1] += [("u1", "FR", "g", None)]
+    index, queries = (key_rows(spark, x) for x in sides)
+    for cap, k in ((1000, 3), (9, 4)):
+        found = CH.overlap(index, queries, lambda _: F.split("a", " "), cap, k).collect()
+        posted, n, want = {}, {}, set()
+        for i, c, t, _ in sides[0]:
+            n[c] = n.get(c, 0) + 1
+            for w in set((t or "").split()):
+                posted.setdefault((c, w), []).append(i)
+        for q, c, t, _ in sides[1]:
+            scores = {}
+            for w in set((t or "").split()):
+                own = posted.get((c, w), [])
+                for i in own if len(own) <= cap else []:
+                    scores[i] = scores.get(i, 0) + math.log(n[c]) - math.log(len(own))
+            best = sorted((-round(x, 9), i) for i, x in scores.items())[:k]
+            want |= {(q, i, round(-x, 6) + 0.0, r) for r, (x, i) in enumerate(best, 1)}
+        assert len(found) == len(want) and {(r.q, r.s1, round(r.score, 6), r["rank"]) for r in found} == want
+
+
+def test_overlap_tokens_builds_names_alone(spark, documents):
+    assert core.overlap_tokens(spark, documents).count() > 0 and not built_addresses(spark, documents)
