@@ -128,3 +128,16 @@ def test_overlap_by_classes(spark, monkeypatch):
 
 def test_overlap_tokens_builds_names_alone(spark, documents):
     assert core.overlap_tokens(spark, documents).count() > 0 and not built_addresses(spark, documents)
+
+
+def test_channel_d_shuffles_no_pairs(spark, documents):
+    """Blocks and bundles meet as wholes: no join by key makes a row for every key that two records share."""
+    found = core.channel_d(spark, documents)
+    plan = found._jdf.queryExecution().toString()
+    assert "mapInArrow" in plan.replace("MapInArrow", "mapInArrow") and "sum(idf" not in plan and not built_addresses(spark, documents)
+    assert found.count() > 0
+
+
+def test_six_digits_as_the_sql_rounds(spark):
+    row = spark.createDataFrame([(32.5256645,), (0.25,)], "score double").select(core._six().alias("s")).collect()
+    assert [r.s for r in row] == [32.525664, 0.25]
