@@ -141,3 +141,31 @@ def test_channel_d_shuffles_no_pairs(spark, documents):
 def test_six_digits_as_the_sql_rounds(spark):
     row = spark.createDataFrame([(32.5256645,), (0.25,)], "score double").select(core._six().alias("s")).collect()
     assert [r.s for r in row] == [32.525664, 0.25]
+
+
+def test_channel_e_deals_blocks_evenly(spark, documents):
+    found = core.channel_e(spark, documents)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString() or "RepartitionByExpression" in found._jdf.queryExecution().toString() or "Repartition " in found._jdf.queryExecution().toString()
+    assert not built_addresses(spark, documents)
+
+
+def test_trigrams_of_classes(spark, monkeypatch):
+    """Copies, short names and names of other scripts, against brute force."""
+    monkeypatch.setattr(CH, "ROWS", 4)
+    monkeypatch.setattr(CH, "BUNDLE", 3)
+    names = ["acme corp", "acme corp", "acme co", "b", "bb", "पवन", None, "corp acme", "aaaa aaaa", "zeta"]
+    rows = [(f"{p}{i:02}", "US" if i % 3 else "IN", names[i * m % 10]) for p, m in (("s", 1), ("q", 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "entity_id string, country_clean string, name_clean string").withColumns({"name_clean_folded": F.col("name_clean"), "name_latin": F.lit(None).cast("string"), "address_region": F.lit(None).cast("string")})
+    found = CH.channel_e(df.filter("entity_id like 's%'"), df.filter("entity_id like 'q%'"), 0.5, 4).collect()
+    tf = {i: Counter(f" {t} "[j : j + 3] for j in range(len(t))) if t else {} for i, _, t in rows}
+    of = {i: c for i, c, _ in rows}
+    n = Counter(c for i, c, _ in rows if i[0] == "s")
+    df = Counter((of[i], g) for i in tf if i[0] == "s" for g in tf[i])
+    idf = {(c, g): math.log(1 + n[c]) - math.log(1 + x) + 1 for (c, g), x in df.items() if x <= max(1, n[c] // 2)}
+    w = {i: {g: (1 + math.log(x)) * idf[of[i], g] for g, x in tf[i].items() if (of[i], g) in idf} for i in tf}
+    w = {i: {g: x / math.sqrt(sum(y * y for y in v.values())) for g, x in v.items()} for i, v in w.items()}
+    want = set()
+    for q in (i for i in w if i[0] == "q"):
+        scores = sorted((-round(sum(x * w[s].get(g, 0) for g, x in w[q].items()), 9), s) for s in w if s[0] == "s" and of[s] == of[q])
+        want |= {(q, s, round(-x, 6), r) for r, (x, s) in enumerate([p for p in scores if p[0] < 0][:4], 1)}
+    assert len(found) == len(want) and {(r.q, r.s1, round(r.score, 6), r["rank"]) for r in found} == want
