@@ -35,6 +35,8 @@ from .common import cut, fresh, per_text, pieces, read, table
 
 ORDER = 4  # four 16-bit characters make a key
 MAX_DOCS = 400
+#: Tasks that count the sample's grams.
+COUNTERS = 4
 #: The share of labelled documents that may be rejected.
 FALSE_REJECTIONS = 0.001
 #: The temperatures tried, and the one without documents to calibrate on.
@@ -189,7 +191,7 @@ def _looked_up(values: dict[str, int], key: Column) -> Column:
 @dataclass
 class Fitted:
     """The model, and which rows it is fitted on: those of a hash below their language's share but for a tenth, and
-    of each language that of the least hash."""
+    of each language that of the least hash, whatever its remainder is."""
 
     model: Model
     shares: dict[str, int] = field(default_factory=dict)
@@ -199,7 +201,7 @@ class Fitted:
         return F.pmod(_hash(), F.lit(1 << 20)) < _looked_up(self.shares, F.col("lang"))
 
     def used(self) -> Column:
-        return self.sampled() & ((F.pmod(F.shiftright(_hash(), 20), F.lit(10)) != 0) | (_hash() == _looked_up(self.least, F.col("lang"))))
+        return (self.sampled() & (F.pmod(F.shiftright(_hash(), 20), F.lit(10)) != 0)) | (_hash() == _looked_up(self.least, F.col("lang")))
 
     def calibrates(self) -> Column:
         return learnable() & ~self.used() if self.shares else F.lit(False)
@@ -227,11 +229,12 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Fitted:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Fitted(Model({}))
-    # below a fraction of the hashes, and up to the least; of few documents all
-    shares = {r["lang"]: max(math.ceil(min(1.0, max_docs / r["n"]) * (1 << 20)), r["least"] % (1 << 20) + 1) for r in sizes}
+    # below a fraction of the hashes; of few documents all
+    shares = {r["lang"]: math.ceil(min(1.0, max_docs / r["n"]) * (1 << 20)) for r in sizes}
     fitted = Fitted(Model({}), shares, {r["lang"]: r["least"] for r in sizes})
     sample = rows.filter(fitted.used()).select("lang", _hash().alias("_h"), "text").dropDuplicates(["lang", "_h"]).select("lang", "text")
-    grams = sample.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    # the bounded sample in few tasks: each makes a row for every gram it meets, however many the texts are dealt over
+    grams = sample.coalesce(COUNTERS).mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for language, own in grams.groupby("lang"):
         keys = own["key"].to_numpy(np.int64).view(np.uint64)
