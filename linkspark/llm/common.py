@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Arrow's pool and the C library keep it, and a worker that waits for its
+    next task would hold what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which a task gives its memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: for what a checkpoint would make too large."""
     path = scratch(df.sparkSession, "table")
@@ -116,7 +137,7 @@ def bit_set(places: DataFrame) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in places.select("place").mapInArrow(some, "row long, bits binary").repartition("row").mapInArrow(merge, "row long, bits binary").collect():
+    for r in places.select("place").mapInArrow(trimmed(some), "row long, bits binary").repartition("row").mapInArrow(trimmed(merge), "row long, bits binary").collect():
         out[r["row"] : r["row"] + _FILTER_ROW] = np.frombuffer(r["bits"], np.uint8)
     return out
 

@@ -13,7 +13,7 @@ All numbers are little-endian. An image is one row (shard, block, n_tokens, imag
 of Spark's holds; the dictionary is its own small table beside it. One document is read by its image's index.
 
 A text is cut at spaces that follow a character other than white space, where a match of the tokenizer's pattern
-always begins, and each distinct piece is encoded once for a while (a bounded table of pieces).
+always begins, and each distinct word of the pieces is encoded once for a while (a bounded table of words).
 
 Defined results: a null text is an empty one (the end id alone). Null doc_ids come last. Documents of one doc_id
 stand beside each other, ordered by the number of their ids and its checksum. What the tokenizer takes for a special
@@ -26,8 +26,7 @@ import hashlib
 import os
 import struct
 import zlib
-from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, per_text, pieces, read, scratch
+from .common import offsets, per_text, pieces, read, scratch, trimmed
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The character that stands for a space in the tokenizer's vocabulary.
@@ -51,10 +50,11 @@ IMAGE = 4 << 20
 DICTIONARY, SAMPLE, SAMPLED = 64 << 10, 1000, 64 << 10
 #: Documents of a shard, about; shards whose sizes are added up at once.
 SHARD, GROUP = 20_000, 1024
-#: Bytes of pieces that are kept, about.
-MAX_KEPT = 112 << 20
+#: Bytes of words and their ids that are kept, about; bytes of texts encoded at once.
+MAX_KEPT, PART = 24 << 20, 8 << 20
 #: Characters that a word is encoded without, if a letter below LETTERS (all of which any Unicode version has) is before.
-STOPS, LETTERS = {".", ","}, "\u0250"
+STOPS, LETTERS = ".,", 0x250
+_LETTER, _SOLID = (np.array([test(chr(i)) for i in range(LETTERS)]) for test in (str.isalpha, lambda c: not c.isspace()))
 
 
 @lru_cache(maxsize=2)
@@ -65,78 +65,91 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _kind(table: np.ndarray, texts: pa.Array, other: Callable[[str], bool]) -> np.ndarray:
+    """Whether the last character of each text is of a kind: by the table below LETTERS, by ``other`` from there on; an
+    empty text's isn't."""
+    at, data = offsets(texts), texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(1, np.uint8)
+    some, two = np.diff(at) > 0, np.diff(at) > 1
+    last = data[np.where(some, at[1:] - 1, 0)].astype(np.int64)
+    before = data[np.where(two, at[1:] - 2, 0)]
+    wide = (before >= 0xC2) & (before < 0xE0)  # begins a character of two bytes
+    code = np.where(last < 128, last, np.where(wide, (before.astype(np.int64) & 31) << 6 | last & 63, len(table)))
+    out = some & table[np.minimum(code, len(table) - 1)] & (code < len(table))
+    for k in np.flatnonzero(some & (code >= len(table))):
+        out[k] = other(texts[int(k)].as_py()[-1])
+    return out
+
+
 class Encoder:
-    """Texts to serialized ids."""
+    """Texts to serialized ids. Words stay in Arrow; only those that must be encoded come to Python."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        self.known: dict[str, bytes | None] = {}  # ids of a space and the piece; None: another piece must follow
-        self.kept = 0  # bytes of these, about
+        self.known, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())  # words; their ids after a space
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(self, words: list[str]) -> list[bytes]:
+    def together(self, words: list[str]) -> pa.Array:
         """The ids of each word after a space. Many words are one text to the tokenizer, as a call costs more than a
         word; none ends in white space, so each begins where a match does, and with the one token that has a space."""
-        out: list[bytes] = []
+        ids, begins, many = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0
         texts = [" " + " ".join(words[at : at + 2000]) for at in range(0, len(words), 2000)]
         for at in range(0, len(texts), 16):
             for found in self.tokenizer.encode_batch_fast(texts[at : at + 16], add_special_tokens=False):
-                ids = np.array(found.ids, "<u4")
-                edges = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
-                data = ids.tobytes()
-                out += [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        return out
-
-    def apart(self, new: list[str]) -> dict[str, bytes | None]:
-        """The ids of pieces after a space, and of their stems. A letter is never matched with a stop or comma after
-        it, so that a word with stops has the ids of the bare word and those of the stops."""
-        found: dict[str, bytes | None] = dict.fromkeys(new)
-        stops, whole = [], set()
-        for x in new:
-            if x[-1:] in STOPS:
-                stem = x.rstrip(".,")
-                if stem and stem[-1].isalpha() and stem[-1] < LETTERS:
-                    stops.append((x, stem, x[len(stem) :]))
-                    if stem not in self.known:
-                        whole.add(stem)
-                    continue
-            if x[-1:].strip():
-                whole.add(x)
-        words, ends = list(whole), list({end for *_, end in stops})
-        found.update(zip(words, self.together(words), strict=True))
-        ended = dict(zip(ends, self.raw(ends), strict=True))
-        for x, stem, end in stops:
-            found[x] = (found[stem] if stem in found else self.known[stem]) + ended[end]
-        return found
+                ids.append(np.array(found.ids, "<u4"))
+                begins.append(many + np.flatnonzero(self.spaced[ids[-1]]))
+                many += len(ids[-1])
+        edges = 4 * np.append(np.concatenate(begins), many)
+        if len(edges) != len(words) + 1:
+            raise ValueError("a word's ids don't begin with its space")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(edges), pa.py_buffer(np.concatenate(ids))])
+
+    def parted(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+        """The words of the pieces, each once, the place of each piece's among them, the pieces that are a word and
+        stops, and the stops of these. A letter is never matched with a stop or comma after it, so that a word with
+        stops has the ids of the bare word and those of the stops."""
+        bare = pc.utf8_rtrim(distinct, STOPS)
+        stops = np.diff(offsets(distinct)) - np.diff(offsets(bare))
+        rows = np.flatnonzero((stops > 0) & _kind(_LETTER, bare, lambda c: False))
+        ended = np.zeros(len(distinct), bool)
+        ended[rows] = True
+        coded = pc.if_else(pa.array(ended), bare, distinct).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), rows, [x[-n:] for x, n in zip(distinct.take(pa.array(rows)).to_pylist(), stops[rows].tolist(), strict=True)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Arrow splits the texts and numbers their pieces; only distinct pieces come to Python."""
+        """Arrow splits the texts and numbers their pieces and these pieces' words."""
         texts = texts.fill_null("").cast(pa.large_string())
         split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
-        distinct, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        found = self.apart([x for x in distinct if x not in self.known])
-        if self.kept < MAX_KEPT:  # the frequent pieces come early; later ones are kept for these texts alone
-            self.known.update(found)
-            self.kept += sum(150 + len(x) + len(ids or b"") for x, ids in found.items())
-            find = self.known.__getitem__
-        else:
-            find = ChainMap(found, self.known).__getitem__
-        ids = [find(x) for x in distinct]
-        odd = np.array([x is None for x in ids], bool)
-        first = np.zeros(len(places), bool)
-        first[at[:-1]] = True
-        heads = self.raw(coded.dictionary.take(pa.array(places[at[:-1]])).to_pylist())
-        # the heads are encoded apart: their places take no bytes here
-        rows = pa.array(np.where(first, len(ids), places))
-        tail = pa.array([*(x or b"" for x in ids), b""], pa.large_binary()).take(rows)
+        distinct, places = coded.dictionary, coded.indices.to_numpy()
+        words, word, rows, stops = self.parted(distinct)
+        sound = _kind(_SOLID, words, lambda c: bool(c.strip()))  # after white space another piece must follow
+        place = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        wanted = np.flatnonzero((place < 0) & sound)
+        new = words.take(pa.array(wanted))
+        found = self.together(new.to_pylist())
+        place[wanted] = len(self.known) + np.arange(len(new))
+        ends = pa.array(stops, pa.large_string()).dictionary_encode()
+        values = pa.concat_arrays([self.values, found])
+        bare = values.take(pa.array(place[word[rows]]))
+        stopped = pc.binary_join_element_wise(bare, pa.array(self.raw(ends.dictionary.to_pylist()), pa.large_binary()).take(ends.indices), pa.scalar(b"", pa.large_binary()))
+        if self.known.nbytes + self.values.nbytes < MAX_KEPT:  # the frequent words come early; later ones are kept for these texts alone
+            self.known, self.values = pa.concat_arrays([self.known, new]), values
+        none = len(values) + len(rows)
+        piece = np.where(sound[word], place[word], none)
+        piece[rows] = len(values) + np.arange(len(rows))
+        odd = ~sound[word]
+        taken = piece[places]
+        taken[at[:-1]] = none  # the heads are encoded apart
+        heads = self.raw(distinct.take(pa.array(places[at[:-1]])).to_pylist())
+        tail = pa.concat_arrays([values, stopped, pa.array([b""], pa.large_binary())]).take(pa.array(taken))
         ends, data = offsets(tail)[np.minimum(at, len(places))], tail.buffers()[2]
         data = memoryview(data) if data is not None else memoryview(b"")
         slow = (per_text(odd[places], at) > 0) & (np.diff(at) > 1)
@@ -156,6 +169,12 @@ class Encoder:
             yield held
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, whose words one task leaves to the next."""
+    return Encoder(path)
+
+
 def train(samples: list[bytes]) -> bytes:
     """A dictionary, or none if the samples are too few for one."""
     samples = [x for x in samples if len(x) >= 8]
@@ -218,9 +237,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     end = struct.pack("<I", END_ID)
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PART):
                 yield part, [x + end for x in encoder.encode(part.column("text"))]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +248,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             begins = [4 * (zlib.crc32(x) % ((len(x) - SAMPLED) // 4)) if len(x) > SAMPLED + 4 else 0 for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array([x[a : a + SAMPLED] for a, x in zip(begins, ids, strict=True)], pa.binary())], ["ids"])
 
-    samples = sorted(bytes(r["ids"]) for r in chosen.mapInArrow(sampled, "ids binary").limit(4 * SAMPLE).collect())
+    samples = sorted(bytes(r["ids"]) for r in chosen.mapInArrow(trimmed(sampled), "ids binary").limit(4 * SAMPLE).collect())
     dictionary = train(samples) or b"".join(samples)[-DICTIONARY:]
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared, sha = spark.sparkContext.broadcast(dictionary), hashlib.sha256(dictionary).digest()
@@ -243,7 +262,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             )
 
     # written, so that bounds are sampled from what is sorted; the place parts equal documents
-    docs.mapInArrow(compress, "doc_id long, n long, crc long, frame binary").withColumn("place", F.monotonically_increasing_id()).write.option("compression", "none").parquet(f"{path}/frames")
+    docs.mapInArrow(trimmed(compress), "doc_id long, n long, crc long, frame binary").withColumn("place", F.monotonically_increasing_id()).write.option("compression", "none").parquet(f"{path}/frames")
     frames = spark.read.parquet(f"{path}/frames")
     order = [F.col("doc_id").asc_nulls_last(), "n", "crc", "place"]
     sorted_frames = frames.repartitionByRange(max(1, -(-n // SHARD)), *order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
@@ -271,7 +290,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
         if held:
             yield image()
 
-    sorted_frames.mapInArrow(pack_up, "shard int, block long, n_tokens long, image binary").write.option("compression", "none").parquet(f"{path}/images")
+    sorted_frames.mapInArrow(trimmed(pack_up), "shard int, block long, n_tokens long, image binary").write.option("compression", "none").parquet(f"{path}/images")
 
 
 def read_shards(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -306,7 +325,7 @@ def read_shards(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     begins = sums.withColumn("within", running).join(F.broadcast(groups), "group").select("shard", (F.col("group_start") + F.col("within")).alias("shard_start"))
     within = Window.partitionBy("shard").orderBy("block")
     starts = blocks.withColumn("block_start", F.sum("total").over(within) - F.col("total")).join(begins, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("_start"))
-    found = images.select("shard", "block", "image").mapInArrow(run, schema)
+    found = images.select("shard", "block", "image").mapInArrow(trimmed(run), schema)
     return found.join(starts, ["shard", "block"]).select("doc_id", (F.col("_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * ids))
 
 
