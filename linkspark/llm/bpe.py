@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, read
+from .common import pieces, read, trimmed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a leaf, characters that a window first takes of each half, ids of a leaf in decoding.
@@ -117,7 +117,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True,
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD, bit_set, cut, fresh, in_bits, mix, pieces, read, release, salted_join, span_hashes, table, utf8, words
+from .common import WORD, bit_set, cut, fresh, in_bits, mix, pieces, read, release, salted_join, span_hashes, table, trimmed, utf8, words
 
 #: op10's words of a shingle and least similarity, as a part of 100.
 SHINGLE, SIMILARITY = 3, 90
@@ -212,7 +213,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sketch: SKETCH numbers, whatever the corpus."""
     out = np.zeros(SKETCH, np.uint32)
-    sums = rows.filter("row is not null").select("row", "counts").repartition("row").mapInArrow(_add_up, "row int, counts binary")
+    sums = rows.filter("row is not null").select("row", "counts").repartition("row").mapInArrow(trimmed(_add_up), "row int, counts binary")
     for r in sums.collect():
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.uint32)
     return out
@@ -406,14 +407,47 @@ def _links(pairs: DataFrame, docs: DataFrame, sketch, shingle: int, similarity:
     many = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "_k").alias("bundle"), "b")
     members = many.select("a", "bundle", F.col("b").alias("node")).unionByName(many.select("a", "bundle", F.col("a").alias("node")).distinct())
     filled = members.join(sets, "node").repartition("a", "bundle").sortWithinPartitions("a", "bundle")
-    return cut(filled.select("a", "bundle", "node", "tokens").mapInArrow(partial(_check, similarity=similarity), "a binary, b binary"))
+    return cut(filled.select("a", "bundle", "node", "tokens").mapInArrow(trimmed(partial(_check, similarity=similarity)), "a binary, b binary"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label of all nodes that have a link: the same label where links connect them.
+#: So many links are joined in one task, which holds some 30 MB then; more in rounds over all tasks, each of many stages.
+FEW = 1 << 18
 
-    Every node takes the least label of its neighbours and itself, then the label of its label, until none changes.
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label from links a, b: the least node that links connect with it."""
+    held = list(batches)
+    a, b = (pa.chunked_array([x.column(c) for x in held], pa.binary()) for c in ("a", "b"))
+    if not len(a):
+        return
+    nodes = pc.unique(pa.chunked_array([*a.chunks, *b.chunks]))
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    over = list(range(len(nodes)))  # the places of nodes in the same component, never greater
+
+    def least(x: int) -> int:
+        while over[x] != x:
+            over[x] = x = over[over[x]]
+        return x
+
+    for x, y in zip(*(pc.index_in(c, value_set=nodes).to_pylist() for c in (a, b)), strict=True):
+        x, y = least(x), least(y)
+        if x < y:
+            over[y] = x
+        else:
+            over[x] = y
+    for at in range(0, len(nodes), 10_000):
+        own = range(at, min(len(nodes), at + 10_000))
+        yield pa.RecordBatch.from_arrays([nodes.slice(at, len(own)), nodes.take(pa.array([least(x) for x in own]))], ["node", "label"])
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
+    """node, label of all nodes that have a link: the same label where links connect them, the least of their nodes.
+
+    Of more than ``few`` links every node takes the least label of its neighbours and itself, then the label of its
+    label, until none changes.
     """
+    if links.count() <= few:
+        return cut(links.select("a", "b").coalesce(1).mapInArrow(trimmed(_join_up), "node binary, label binary"))
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     if labels.isEmpty():
@@ -479,7 +513,7 @@ def _blocks(lists: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, shingle: int, similarity: int, missed: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From doc_id, key, text: a row for each document (doc_id, key, n, node), the nodes, and the labels of those that
     have a link."""
-    first = cut(docs.mapInArrow(partial(_first_pass, shingle=shingle), _NODES))
+    first = cut(docs.mapInArrow(trimmed(partial(_first_pass, shingle=shingle)), _NODES))
     sketch = docs.sparkSession.sparkContext.broadcast(hot(_sketch(first)))
     rows = first.filter("row is null").select("doc_id", "key", "n", "node", "parities")
     # copies meet here, a row for each task and node
@@ -506,7 +540,7 @@ def _linked(docs: DataFrame, shingle: int, similarity: int, missed: float | None
                     yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(sketch.value[_bucket(every)] != 0), pa.array(owners, pa.binary()).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row])], ["key", "hot", "node", "n"])
 
     # a node's postings stand together: Parquet keeps the node once
-    listed = table(docs.select("text").mapInArrow(postings, "key long, hot boolean, node binary, n long"))
+    listed = table(docs.select("text").mapInArrow(trimmed(postings), "key long, hot boolean, node binary, n long"))
     lists = cut(_shared_lists(listed))
     release(docs.sparkSession)
 
@@ -515,13 +549,13 @@ def _linked(docs: DataFrame, shingle: int, similarity: int, missed: float | None
     dealt = lists.withColumn("_two", two).filter("_two <= 2").join(parities, "node")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / BLOCK))  # a long list's nodes meet within blocks only
     dealt = dealt.select(F.when(F.col("df") > 2 * BLOCK, F.xxhash64("key", block)).otherwise(F.col("key")).alias("key"), F.lit(2).alias("side"), "node", "n", "parities")
-    near = cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(False, False, similarity), "a binary, b binary").distinct())
+    near = cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_candidates(False, False, similarity)), "a binary, b binary").distinct())
     labels = components(_links(near, docs, sketch, shingle, similarity))
     for every in (False, True):
         labelled = lists.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).filter("low <> high").select("key", "df")
         again = _blocks(cut(labelled.join(mixed, "key"))).join(parities, "node").repartition("key").sortWithinPartitions("key", "label", "node")
-        more = cut(again.mapInArrow(_candidates(True, every, similarity), "a binary, b binary").distinct())
+        more = cut(again.mapInArrow(trimmed(_candidates(True, every, similarity)), "a binary, b binary").distinct())
         labels = merged(labels, _links(more, docs, sketch, shingle, similarity))
         release(docs.sparkSession)
     return rows.drop("parities"), nodes, labels
@@ -570,7 +604,7 @@ def _sets(docs: DataFrame, active: DataFrame, sketch, shingle: int) -> DataFrame
                     x, y = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["node", "tokens"])
 
-    return docs.select("text").mapInArrow(build, "node binary, tokens binary").join(active, "node").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(trimmed(build), "node binary, tokens binary").join(active, "node").dropDuplicates(["node"])
 
 
 def distinct_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: int = NEAR_SIMILARITY, missed: float | None = MISSED) -> DataFrame:

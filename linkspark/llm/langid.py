@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, fresh, per_text, pieces, read, table
+from .common import cut, fresh, per_text, pieces, read, table, trim, trimmed
 
 ORDER = 4  # four 16-bit characters make a key
 MAX_DOCS = 400
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Fitted:
     fitted = Fitted(Model({}), shares, {r["lang"]: r["least"] for r in sizes})
     sample = rows.filter(fitted.used()).select("lang", _hash().alias("_h"), "text").dropDuplicates(["lang", "_h"]).select("lang", "text")
     # the bounded sample in few tasks: each makes a row for every gram it meets, however many the texts are dealt over
-    grams = sample.coalesce(COUNTERS).mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    grams = sample.coalesce(COUNTERS).mapInArrow(trimmed(_count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for language, own in grams.groupby("lang"):
         keys = own["key"].to_numpy(np.int64).view(np.uint64)
@@ -256,6 +256,7 @@ def _scored(docs: DataFrame, model: Model) -> Column:
             width = loss.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(loss) + 1) * width, pa.int32()), pa.array(loss.ravel()))
             out.append(pa.StructArray.from_arrays([lists, pa.array(n.astype(np.int64)), pa.array(letters)], ["loss", "n", "letters"]))
+        trim()
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([("loss", pa.list_(pa.float64())), ("n", pa.int64()), ("letters", pa.int64())]))
 
     return score("text")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import _SPACE, cut, fresh, mix, per_text, pieces, read, repeated, salted_join, span_hashes, table, utf8, words
+from .common import _SPACE, cut, fresh, mix, per_text, pieces, read, repeated, salted_join, span_hashes, table, trim, utf8, words
 
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
@@ -91,6 +91,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 @arrow_udf(StructType([StructField(c, LongType()) for c in _COUNTS]))
 def counts(texts: pa.Array) -> pa.Array:
     found = [measure(part.column(0)) for part in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+    trim()
     return pa.StructArray.from_arrays([pa.array(np.concatenate([x[c] for x in found]) if found else [], pa.int64()) for c in _COUNTS], list(_COUNTS))
 
 
