@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, when it is first read, onto the executors' disks, until ``unpersist``: for what is read a few
+    times at once. A block is a plain file, while a checkpoint or Parquet file goes through Hadoop, which without its
+    native library starts a chmod for each file and for its checksums, and a process that starts shares all of the
+    executor's memory. A lost block is computed again.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints that nothing refers to any more: it does so after a collection."""
     gc.collect()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bit_set, cut, in_bits, read, salted_join, scratch
+from .common import bit_set, hold, in_bits, read, salted_join, scratch
 
 CHUNK = 1 << 20
 MIN_BYTES = 0
@@ -106,13 +106,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"), payload.alias("html"))
     order = F.coalesce("page_id", F.lit(_LAST))
     # a row for each page and payload, without the payload
-    known = cut(rows.select(order.alias("_page"), "url", "sha1", "bytes").groupBy("_page", "sha1").agg(F.min("bytes").alias("bytes"), F.min("url").alias("url"), F.count("*").alias("n")))
+    known = hold(rows.select(order.alias("_page"), "url", "sha1", "bytes").groupBy("_page", "sha1").agg(F.min("bytes").alias("bytes"), F.min("url").alias("url"), F.count("*").alias("n")))
     sized = known.filter(F.col("bytes") >= min_bytes)
     least = F.min(F.struct("_page", "url", (F.col("n") > 1).alias("many")))
     shared = sized.groupBy("sha1").agg(least.alias("_first"), F.max("_page").alias("_max")).filter("_first._page < _max").select("sha1", "_first")
     later = salted_join(sized.select("_page", "sha1"), shared, ["sha1"], "inner", ["_page"]).filter("_page > _first._page").select("_page", "sha1", "_first")
     # what a row doesn't know by itself: that it is a revisit, or one of several rows of one page and payload
-    told = cut(known.filter("n > 1").select("_page", "sha1", F.lit(True).alias("many")).join(later, ["_page", "sha1"], "full").withColumn("many", F.coalesce("many", F.lit(False))))
+    told = hold(known.filter("n > 1").select("_page", "sha1", F.lit(True).alias("many")).join(later, ["_page", "sha1"], "full").withColumn("many", F.coalesce("many", F.lit(False))))
     keyed, on = rows.withColumn("_page", order), ["_page", "sha1"]
     if told.count() <= BROADCAST_REVISITS:
         marked = keyed.join(F.broadcast(told), on, "left")
@@ -137,6 +137,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
     schema = "archive int, record string, chunk int, chunks int, running string, data binary"
     date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     marked.mapInArrow(partial(_records, run=str(uuid.uuid4()), date=date), schema).write.option("compression", "zstd").parquet(path)
+    told.unpersist()
+    known.unpersist()
 
 
 def _parse(header: bytes) -> dict[str, str]:
