@@ -31,7 +31,8 @@ def hold(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, when it is first read, onto the executors' disks, until ``unpersist``: for what is read a few
     times at once. A block is a plain file, while a checkpoint or Parquet file goes through Hadoop, which without its
     native library starts a chmod for each file and for its checksums, and a process that starts shares all of the
-    executor's memory. A lost block is computed again.
+    executor's memory. A lost block is computed again. Not for many steps, each on
+    the one before: the plan of what is held is part of each plan that reads it.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 
